@@ -18,7 +18,7 @@ DIMENSIONS, N, SYMBOLS = 1024, 3, 64
 UNKNOWN = "und"
 #: Prototypes are one vector per language; more languages than this is an error rather than an unbounded driver table.
 MOST_LANGUAGES = 8192
-_CHUNK, _GROUP = 1 << 20, 32
+_CHUNK, _GROUP, MOST_KEPT = 1 << 20, 128, 16384
 
 
 def _symbols() -> np.ndarray:
@@ -39,6 +39,7 @@ class Profiles:
         self.table = _symbols()
         seeds = [hashlib.shake_256(f"letter {s}".encode()).digest(dimensions // 8) for s in range(SYMBOLS)]
         letters = np.stack([np.unpackbits(np.frombuffer(s, np.uint8)).astype(np.float32) * 2 - 1 for s in seeds])
+        self.row, self.kept, self.used = np.full(SYMBOLS**n, -1, np.int32), np.empty((2048, dimensions), np.float32), 0
         self.placed = [np.roll(letters, place, axis=1) for place in range(n)]
 
     def codes(self, text: str) -> np.ndarray:
@@ -57,6 +58,19 @@ class Profiles:
         return code
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
+        """The bound vectors of these codes; up to MOST_KEPT of them are kept for the next group."""
+        new = codes[self.row[codes] < 0]
+        if self.used + len(new) > MOST_KEPT:
+            return self.bind(codes)
+        if len(new):
+            while self.used + len(new) > len(self.kept):
+                self.kept = np.concatenate([self.kept, np.empty_like(self.kept)])
+            self.kept[self.used : self.used + len(new)] = self.bind(new)
+            self.row[new] = np.arange(self.used, self.used + len(new))
+            self.used += len(new)
+        return self.kept[self.row[codes]]
+
+    def bind(self, codes: np.ndarray) -> np.ndarray:
         out = np.ones((len(codes), self.d), np.float32)
         for k in range(self.n):
             out *= self.placed[k][codes // SYMBOLS ** (self.n - 1 - k) % SYMBOLS]
