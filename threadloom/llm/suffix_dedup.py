@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 LENGTH, GRAM, SLACK = 100, 24, 16
 WINDOW = LENGTH - GRAM + 1
-#: Text bytes whose anchors share one group, and text bytes hashed at a time.
-BUCKET_BYTES, GROUP_BYTES = 24 << 20, 1 << 19
+#: Text bytes whose anchors share one group, text bytes hashed at a time, text bytes packed at a time.
+BUCKET_BYTES, GROUP_BYTES, PART_BYTES = 24 << 20, 1 << 19, 1 << 23
 #: The place in the order of documents without an id.
 NO_ID = 2**63 - 1
 
@@ -88,7 +88,7 @@ def _pack(bucket: int, keep: tuple, gone: tuple, doc: np.ndarray, row: np.ndarra
     return b"".join(p.tobytes() for p in parts)
 
 
-def _unpack(data: bytes) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+def _unpack(data: bytes | pa.Buffer) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     a, b, used = np.frombuffer(data, "<i8", 3)
     at, out = 24, []
     for kind, size in (("<u8", a), ("<u8", a), ("<i8", used), ("<i8", used), ("<u4", a + b), ("<i4", a + b), ("u1", a + b)):
@@ -100,38 +100,45 @@ def _unpack(data: bytes) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]
 
 
 def _dealt(buckets: int):
-    """Documents (doc, row, data) to packed anchors by bucket; repeats within a batch are marked at once."""
+    """Documents (doc, row, data) to packed anchors by bucket; repeats within a part of a batch are marked at once."""
+
+    def packed(found: list[tuple], doc: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+        own, start, n, gram, stretch = (np.concatenate(c) for c in zip(*found))
+        _, first = np.unique(gram * np.uint64(0x94D049BB133111EB) ^ stretch, return_index=True)
+        keep = np.zeros(len(own), bool)
+        keep[first] = True
+        bucket = ((gram >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        turn = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[turn], np.arange(buckets + 1))
+        out = []
+        for b in range(buckets):
+            at = turn[cuts[b] : cuts[b + 1]]
+            if len(at):
+                k, g = at[keep[at]], at[~keep[at]]
+                out.append((b, _pack(b, tuple(v[k] for v in (own, start, n, gram, stretch)), tuple(v[g] for v in (own, start, n)), doc, row)))
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, row = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
             order = np.lexsort((row, doc))
-            found, texts, numbers, held = [], [], [], 0
+            # A row that repeats id and text is the same document.
+            order = order[np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(row[order]) != 0)])] if len(order) else order
+            found, texts, numbers, held, since = [], [], [], 0, 0
             data = batch.column("data")
             for k, i in enumerate(order.tolist()):
                 texts.append(data[i].as_buffer().to_pybytes())
                 numbers.append(i)
                 held += len(texts[-1])
-                if held >= GROUP_BYTES or k == len(order) - 1:
+                last = k == len(order) - 1
+                if held >= GROUP_BYTES or last:
                     own, *rest = anchors(texts)
                     found.append((np.asarray(numbers)[own], *rest))
+                    since += held
                     texts, numbers, held = [], [], 0
-            if not found:
-                continue
-            own, start, n, gram, stretch = (np.concatenate(c) for c in zip(*found))
-            _, first = np.unique(gram * np.uint64(0x94D049BB133111EB) ^ stretch, return_index=True)
-            keep = np.zeros(len(own), bool)
-            keep[first] = True
-            bucket = ((gram >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            turn = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[turn], np.arange(buckets + 1))
-            out = []
-            for b in range(buckets):
-                at = turn[cuts[b] : cuts[b + 1]]
-                if len(at):
-                    k, g = at[keep[at]], at[~keep[at]]
-                    out.append((b, _pack(b, tuple(v[k] for v in (own, start, n, gram, stretch)), tuple(v[g] for v in (own, start, n)), doc, row)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "packed"])
+                if found and (since >= PART_BYTES or last):
+                    yield packed(found, doc, row)
+                    found, since = [], 0
 
     return run
 
@@ -144,26 +151,48 @@ def _ranges(doc, row, start, n, gram) -> pa.Table:
 
 def _matched(group: pa.Table) -> pa.Table:
     """Of one bucket: repeats (gram null), and the stretches whose bytes are wanted (gram set)."""
-    unpacked = [_unpack(x.as_buffer().to_pybytes()) for x in group.column("packed").combine_chunks()]
-    gone = [_ranges(*g, None) for _, g in unpacked]
-    gram, stretch, doc, row, start, n = (np.concatenate(c) for c in zip(*(k for k, _ in unpacked)))
-    turn = np.argsort(gram, kind="stable")
-    same = gram[turn][1:] == gram[turn][:-1]
-    turn = turn[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-    turn = turn[np.lexsort((start[turn], row[turn], doc[turn], stretch[turn], gram[turn]))]
-    gram, stretch, doc, row, start, n = (v[turn] for v in (gram, stretch, doc, row, start, n))
-    if not len(turn):
+    packed = [x.as_buffer() for x in group.column("packed").combine_chunks()]
+    grams = np.concatenate([_unpack(x)[0][0] for x in packed])
+    turn = np.argsort(grams, kind="stable")
+    same = grams[turn][1:] == grams[turn][:-1]
+    often = np.zeros(len(grams), bool)
+    often[turn[np.concatenate([[False], same]) | np.concatenate([same, [False]])]] = True
+    del turn, same, grams
+    gone, kept, at = [], [], 0
+    for x in packed:  # only anchors whose gram is there twice are unpacked
+        keep, lost = _unpack(x)
+        gone.append(_ranges(*lost, None))
+        mask = often[at : at + len(keep[0])]
+        kept.append(tuple(v[mask] for v in keep))
+        at += len(mask)
+    gram, stretch, doc, row, start, n = (np.concatenate(c) for c in zip(*kept))
+    if not len(gram):
         return pa.concat_tables(gone)
+    turn = np.lexsort((start, row, doc, stretch, gram))
+    gram, stretch, doc, row, start, n = (v[turn] for v in (gram, stretch, doc, row, start, n))
     new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
     first = new_gram | np.concatenate([[True], stretch[1:] != stretch[:-1]])
-    gone.append(_ranges(*(v[~first] for v in (doc, row, start, n)), None))
-    number = np.cumsum(new_gram) - 1
-    several = np.bincount(number[first])[number] > 1
+    head = np.flatnonzero(first)[np.cumsum(first) - 1]
+    elsewhere = (doc != doc[head]) | (row != row[head]) | (start != start[head])  # else a row that repeats id and text
+    gone.append(_ranges(*(v[elsewhere] for v in (doc, row, start, n)), None))
+    several = np.bincount(np.cumsum(new_gram)[first] - 1)[np.cumsum(new_gram) - 1] > 1
     ask = first & several
     gone.append(_ranges(*(v[ask] for v in (doc, row, start, n)), gram[ask].view(np.int64)))
     return pa.concat_tables(gone)
 
 
+def _keys(symbols: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """The first `depth` symbols of each suffix as fixed-size strings that compare like the suffixes; what follows an end is 0."""
+    wide = symbols.max() > 255
+    out = np.empty((len(places), depth), ">u2" if wide else "u1")
+    lane = np.arange(depth)
+    for i in range(0, len(places), 8192):
+        rows = symbols[np.minimum(places[i : i + 8192, None] + lane, len(symbols) - 1)]
+        rows[np.maximum.accumulate(rows == 0, axis=1)] = 0
+        out[i : i + 8192] = rows
+    return out.view(f"S{depth * out.itemsize}").ravel()
+
+
 def two_stage_sort(symbols: np.ndarray, head: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """Suffix array of the wanted places of texts that each end with symbol 0, in order of their first `depth` symbols at least.
 
@@ -187,8 +216,6 @@ def two_stage_sort(symbols: np.ndarray, head: np.ndarray, wanted: np.ndarray, de
     np.add.at(touched, places, 1)
     np.add.at(touched, stops[np.searchsorted(stops, places)] + 1, -1)
     needed = np.cumsum(touched)[:-1] > 0
-    padded = np.concatenate([symbols.astype(np.uint16), np.zeros(depth, np.uint16)])
-    lane = np.arange(depth)
     induced: list[list[np.ndarray]] = [[] for _ in range(257)]
     result = []
     sorted_direct = np.flatnonzero(direct & needed)
@@ -203,11 +230,7 @@ def two_stage_sort(symbols: np.ndarray, head: np.ndarray, wanted: np.ndarray, de
             part.append(front)
         own = sorted_direct[by_symbol[cuts[c] : cuts[c + 1]]]
         if c and len(own) > 1:
-            rows = padded[own[:, None] + lane]
-            ended = np.cumsum(rows == 0, axis=1) > 0
-            rows[ended] = 0
-            keys = np.ascontiguousarray(rows.astype(">u2")).view(f"S{2 * depth}").ravel() if (rows > 255).any() else np.ascontiguousarray(rows.astype(np.uint8)).view(f"S{depth}").ravel()
-            own = own[np.argsort(keys, kind="stable")]
+            own = own[np.argsort(_keys(symbols, own, depth), kind="stable")]
         order = np.concatenate([*part, own])
         result.append(order[wanted[order]])
         before = order[~head[order]] - 1
@@ -232,6 +255,8 @@ def _sorted_repeats(group: pa.Table) -> pa.Table:
     """Of the stretches of one group: the windows that are equal to an earlier one of another stretch."""
     doc, row, start, n = (group.column(c).to_numpy() for c in ("doc", "row", "start", "n"))
     turn = np.lexsort((start, row, doc))
+    again = (np.diff(doc[turn]) == 0) & (np.diff(row[turn]) == 0) & (np.diff(start[turn]) == 0)
+    turn = turn[np.concatenate([[True], ~again])]  # rows that repeat id and text send the same stretch
     doc, row, start, n = (v[turn] for v in (doc, row, start, n))
     texts = group.column("bytes").combine_chunks().take(pa.array(turn))
     texts = [t.as_buffer().to_pybytes() for t in texts]
@@ -306,7 +331,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed = marked.mapInArrow(_dealt(buckets), "bucket int, packed binary")
     matched = packed.groupBy("bucket").applyInArrow(_matched, RANGES)
     asked = matched.where("gram is not null")
-    places = marked.dropDuplicates(["doc", "row"]).join(asked, ["doc", "row"])
+    places = marked.join(asked, ["doc", "row"])
     stretches = places.select("doc", "row", "start", "n", F.expr(f"substring(data, start + 1, n + {LENGTH - 1 + SLACK})").alias("bytes"), F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("part"))
     repeats = stretches.groupBy("part").applyInArrow(_sorted_repeats, RANGES)
     ranges = matched.where("gram is null").unionByName(repeats).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
