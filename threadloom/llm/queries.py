@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import langid, mixing, packing, sharding, simhash, suffix_dedup, topk, warc
+from . import hnsw_dedup, langid, mixing, packing, sharding, simhash, suffix_dedup, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each runs over its whole tables."""
     return {
+        "op1_hnsw_dedup": hnsw_dedup.op1_hnsw_dedup,
         "op2_mixing": mixing.op2_mixing,
         "op3_simhash": simhash.op3_simhash,
         "op4_packing": packing.op4_packing,
@@ -28,5 +29,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Where DuckDB can express the query."""
-    found = {"op2_mixing": mixing.OP2_SQL, "op7_warc": warc.OP7_SQL, "op9_topk": topk.OP9_SQL}
+    found = {"op1_hnsw_dedup": hnsw_dedup.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op7_warc": warc.OP7_SQL, "op9_topk": topk.OP9_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
