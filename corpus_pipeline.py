@@ -1,15 +1,74 @@
-"""Corpus pipeline: language ID, near-dedup, exact substring dedup, source mixing, packing."""
+"""Corpus pipeline: language ID, SimHash near-dedup, exact substring dedup, mixing of sources, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which the caller may write as Parquet and read again for the next
+one. All stages but the last return the columns of `documents`."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from threadloom.llm import langid, mixing, packing, simhash, suffix_dedup
+from threadloom.llm.common import WORD_SQL, shared_dir
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language (null text, or not one letter) go; a null lang becomes the predicted one."""
+    found = langid.identify(docs.select(*COLUMNS)).where(F.col("lang_pred") != langid.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the smallest id."""
+    return simhash.keep_one(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated strings of 100 bytes are cut out; a document of which no character is left goes.
+
+    A cut inside a character drops what is left of it. n_chars is counted anew."""
+    found = suffix_dedup.remove_repeats(docs, carry=tuple(COLUMNS[:1] + COLUMNS[2:]), as_text=True).where("kept <> ''")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("_n_chars"))
+    return found.select(F.col("_doc_id").alias("doc_id"), F.col("kept").alias("text"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), n_chars.alias("n_chars"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at weights 5, 2, 1, ...: a document comes once per epoch; the one at the cut comes with its first words."""
+    docs = docs.select(*COLUMNS)
+    taken = mixing.mix(docs).where("taken > 0").groupBy("mix_key").agg(*[F.max(c).alias(c) for c in ("epochs", "part", "size")])
+    joined = docs.withColumn("mix_key", mixing.mix_key()).join(taken, "mix_key")
+    word = f"[\\\\x20\\\\x09-\\\\x0D]*{WORD_SQL}"
+    first_words = F.expr(f"array_join(slice(regexp_extract_all(text, '{word}', 0), 1, cast(part as int)), '')")
+    whole = joined.where("epochs > 0").withColumn("copy", F.explode(F.expr("sequence(1, int(epochs))"))).select(*COLUMNS)
+    parts = joined.where("part > 0").withColumn("text", F.when(F.col("part") >= F.col("size"), F.col("text")).otherwise(first_words))
+    return whole.unionByName(parts.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return packing.pack(packing.pieces(docs))
+
+
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_dedup),
+    ("suffix-array dedup", substring_dedup),
+    ("mixing", mixture),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: Fingerprints, suffix order and tokens are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs

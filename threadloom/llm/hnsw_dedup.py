@@ -41,6 +41,22 @@ class Graph:
             size = min(n - done, max(64, min(done, 1024)))
             self._insert(np.arange(done, done + size), done)
             done += size
+        self._reachable()
+
+    def _reachable(self, least: int = 4) -> None:
+        """Pruning in a dense group can leave a node that no other points to: such nodes get back-links from their neighbours."""
+        base = self.layers[0]
+        incoming = np.bincount(base[base >= 0], minlength=len(base))
+        poor = np.flatnonzero(incoming < least)
+        degree = np.maximum((base[poor] >= 0).sum(axis=1), 1)
+        target = np.stack([base[poor, (poor + j) % degree] for j in range(least)], axis=1).ravel()
+        source = np.repeat(poor, least)[target >= 0]
+        pairs = np.unique(np.stack([target[target >= 0], source], axis=1), axis=0)
+        if len(pairs):
+            nodes, first, count = np.unique(pairs[:, 0], return_index=True, return_counts=True)
+            extra = np.full((len(base), count.max()), -1, np.int32)
+            extra[pairs[:, 0], np.arange(len(pairs)) - np.repeat(first, count)] = pairs[:, 1]
+            self.layers[0] = np.concatenate([base, extra], axis=1)
 
     def _insert(self, new: np.ndarray, done: int) -> None:
         near = self.x[new] @ self.x[new].T
@@ -245,7 +261,7 @@ def _found(threshold: float):
         a, b = np.minimum(mine[q], ids[i]), np.maximum(mine[q], ids[i])
         pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         edges = _forest(pairs[:, 0], pairs[:, 1], {})
-        return pa.table([pa.array(np.concatenate([mine, [e[0] for e in edges]]).astype(np.int64)), pa.array([None] * len(mine) + [e[1] for e in edges], pa.int64()), pa.array(np.concatenate([n, np.zeros(len(edges), np.int64)]))], names=names)
+        return pa.table([pa.array(np.concatenate([mine, np.asarray([e[0] for e in edges], np.int64)])), pa.array([None] * len(mine) + [e[1] for e in edges], pa.int64()), pa.array(np.concatenate([n, np.zeros(len(edges), np.int64)]))], names=names)
 
     return run
 
@@ -278,9 +294,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows
     named = classes.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id")).join(linked, "class_id")
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(smallest, "component").select("class_id", "component_id", (F.col("copies") - 1 + F.col("others")).alias("n_links"))
-    asked = base.select("vec_id", F.when(F.col("vec").isNotNull(), F.xxhash64("label", "vec")).alias("class_id"))
-    out = asked.join(named, "class_id", "left")
-    component = F.when(F.col("class_id").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    asked = base.select("vec_id", F.col("vec").isNotNull().alias("sound"), F.xxhash64("label", "vec").alias("class_id"))
+    out = asked.withColumn("class_id", F.when(F.col("sound"), F.col("class_id"))).join(named, "class_id", "left")
+    single = ~F.col("sound")
+    component = F.when(single, F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 

@@ -7,7 +7,7 @@ task ever orders a whole source."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import WORD_SQL
 
@@ -16,13 +16,15 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix-1") -> DataFrame:
-    """(doc_id, source, size, mix_key): words of the text (null: 0), and a key that depends on the id and the seed alone.
+def mix_key(id_col: str = "doc_id", text_col: str = "text", seed: str = "mix-1") -> Column:
+    """A hash-random key, the same on every run. The text is part of it, so that null and repeated ids do not share a range."""
+    return F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+
 
-    Null ids and repeated ids take the text into the key, so that they do not all fall in one range."""
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix-1") -> DataFrame:
+    """(doc_id, source, size, mix_key): the words of the text (null: 0) are its size."""
     size = F.coalesce(F.expr(f"regexp_count(`{text_col}`, '{WORD_SQL}')"), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col), F.col(source_col).alias("source"), size.alias("size"), key.alias("mix_key"))
+    return docs.select(F.col(id_col), F.col(source_col).alias("source"), size.alias("size"), mix_key(id_col, text_col, seed).alias("mix_key"))
 
 
 def targets(source_sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import hnsw_dedup, langid, mixing, packing, sharding, simhash, suffix_dedup, topk, warc
+from . import hnsw_dedup, langid, license_scan, mixing, packing, sharding, simhash, suffix_dedup, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": simhash.op3_simhash,
         "op4_packing": packing.op4_packing,
         "op5_sharding": sharding.op5_sharding,
+        "op6_license_scan": license_scan.op6_license_scan,
         "op7_warc": warc.op7_warc,
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_topk": topk.op9_topk,

@@ -288,39 +288,48 @@ def _sorted_repeats(group: pa.Table) -> pa.Table:
     return _ranges(doc[k], row[k], start[k] + repeated[opens] - heads[k], np.diff(np.concatenate([opens, [len(repeated)]])), None)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_bytes, n_removed, n_spans, kept = [], [], [], []
-        for data, ranges in zip(batch.column("data"), batch.column("ranges")):
-            text, spans = data.as_buffer().to_pybytes(), []
-            if ranges.is_valid and len(ranges):
-                starts = ranges.values.field("start").to_numpy().astype(np.int64)
-                ends = starts + ranges.values.field("n").to_numpy() + LENGTH - 1
-                turn = np.argsort(starts, kind="stable")
-                starts, ends = starts[turn], np.maximum.accumulate(ends[turn])
-                opens = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1]]))
-                spans = list(zip(starts[opens].tolist(), ends[np.concatenate([opens[1:] - 1, [len(ends) - 1]])].tolist()))
-            parts, at = [], 0
-            for a, b in spans:
-                parts.append(text[at:a])
-                at = b
-            parts.append(text[at:])
-            left = b"".join(parts)
-            n_bytes.append(len(text))
-            n_removed.append(len(text) - len(left))
-            n_spans.append(len(spans))
-            kept.append(left)
-        columns = [batch.column("doc"), batch.column("row"), *(pa.array(v, pa.int64()) for v in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc", "row", "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _cut(as_text: bool):
+    """Rows (doc, row, data, carried columns, ranges) to what is left of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_bytes, n_removed, n_spans, kept = [], [], [], []
+            for data, ranges in zip(batch.column("data"), batch.column("ranges")):
+                text, spans = data.as_buffer().to_pybytes(), []
+                if ranges.is_valid and len(ranges):
+                    starts = ranges.values.field("start").to_numpy().astype(np.int64)
+                    ends = starts + ranges.values.field("n").to_numpy() + LENGTH - 1
+                    turn = np.argsort(starts, kind="stable")
+                    starts, ends = starts[turn], np.maximum.accumulate(ends[turn])
+                    opens = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1]]))
+                    spans = list(zip(starts[opens].tolist(), ends[np.concatenate([opens[1:] - 1, [len(ends) - 1]])].tolist()))
+                parts, at = [], 0
+                for a, b in spans:
+                    parts.append(text[at:a])
+                    at = b
+                parts.append(text[at:])
+                left = b"".join(parts)
+                n_bytes.append(len(text))
+                n_removed.append(len(text) - len(left))
+                n_spans.append(len(spans))
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+            known = [batch.column(k) for k in range(batch.num_columns - 1) if k != 2]
+            names = [batch.schema.names[k] for k in range(batch.num_columns - 1) if k != 2]
+            columns = [*known, *(pa.array(v, pa.int64()) for v in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.string() if as_text else pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return run
+
+
+def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc, row, data): the id (rows without one come last), a hash that tells rows of one id apart, the UTF-8 bytes."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"), *[F.col(c).alias(f"_{c}") for c in carry])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """One row per row of `docs`: doc, row, n_bytes, n_removed, n_spans, kept (the remaining bytes).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """One row per row of `docs`: doc, row, n_bytes, n_removed, n_spans, kept (the remaining bytes),
+    and the columns named by `carry` with an underscore before their names. With `as_text`, kept is a string; what is left of a
+    character that a cut went through is dropped.
 
     Null texts are empty. Rows that repeat both id and text are one document and get the same result each; rows with the same
     id and other text are separate documents, ordered by a hash of the text; rows without an id come after all others. An
@@ -335,7 +344,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stretches = places.select("doc", "row", "start", "n", F.expr(f"substring(data, start + 1, n + {LENGTH - 1 + SLACK})").alias("bytes"), F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("part"))
     repeats = stretches.groupBy("part").applyInArrow(_sorted_repeats, RANGES)
     ranges = matched.where("gram is null").unionByName(repeats).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    return marked.join(ranges, ["doc", "row"], "left").mapInArrow(_cut, "doc long, row long, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = identified(docs, id_col, text_col, carry).join(ranges, ["doc", "row"], "left")
+    schema = joined.drop("data", "ranges").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "string" if as_text else "binary")
+    return joined.mapInArrow(_cut(as_text), schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
