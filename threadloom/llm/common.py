@@ -29,11 +29,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def need_columns(df: DataFrame, *names: str) -> None:
-    """Fail early and clearly when an input lacks a column that the operator needs."""
-    missing = [n for n in names if n not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns {missing}; there are {df.columns}")
+def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Hold the Arrow batches in which whole texts go to Python to a size that does not depend on how long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -14,11 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import bound_batches
+
 DIMENSIONS, N, SYMBOLS = 1024, 3, 64
 UNKNOWN = "und"
 #: Prototypes are one vector per language; more languages than this is an error rather than an unbounded driver table.
 MOST_LANGUAGES = 8192
-_CHUNK, _GROUP, MOST_KEPT = 1 << 20, 128, 16384
+_CHUNK, _GROUP, MOST_KEPT = 1 << 20, 128, 8192
 
 
 def _symbols() -> np.ndarray:
@@ -129,6 +131,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
         rows = [(lang, i, float(v)) for lang, total in zip(counts, sums) for i, v in enumerate(total)]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64())], names=["lang", "i", "v"])
 
+    bound_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
     summed = rows.mapInArrow(partial_sums, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v"))
     per_lang = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).getField("v").alias("v"))
@@ -143,6 +146,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
     Null texts, texts without a letter, and every text when nothing was learned get `und` and score 0. Ties go to the language
     first in code-point order."""
+    bound_batches(docs.sparkSession)
     langs = sorted(prototypes)
     unit = np.stack([prototypes[k] / (np.linalg.norm(prototypes[k]) or 1) for k in langs]) if langs else np.zeros((0, dimensions))
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]

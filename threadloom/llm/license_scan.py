@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import bound_batches
+
 #: Share of a template's words that may differ (rounded down, so short notices must be word for word).
 TOLERANCE = 0.1
 CUES = r"licen[cs]e|licensed|copyright|permission is|redistribution|public domain"
@@ -80,6 +82,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, tolerance: fl
 
     Whole texts are scanned. Null or empty texts give no rows; repeated rows give theirs again; of templates that save the same,
     the first by name is tried first. Other columns are not read. No templates, no rows."""
+    bound_batches(docs.sparkSession)
     templates = TEMPLATES if templates is None else templates
     cue = re.compile(CUES, re.IGNORECASE)
 

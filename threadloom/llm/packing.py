@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import materialize, spans_at_space
+from .common import bound_batches, materialize, spans_at_space
 
 CAPACITY = 2048
 END_ID = 0
@@ -129,6 +129,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, i
     """Tokenize whole texts, add the end id, cut what is longer than `capacity`: doc_id, piece, start, length, ids_crc32.
 
     A null text is empty and gives one piece of one id. Repeated rows give their pieces again. Other columns are not read."""
+    bound_batches(docs.sparkSession)
     path = path or tokenizer_path()
     ended = np.asarray([END_ID], "<u4").tobytes()
 

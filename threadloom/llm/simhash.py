@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import connected_components, materialize, spans_at_space
+from .common import bound_batches, connected_components, materialize, spans_at_space
 
 WORDS, SEED, MOST_BITS = 3, 42, 2
 #: Signatures shared by more fingerprints are split once more, by thirds of the bits that may still differ.
@@ -50,6 +50,8 @@ def fingerprint(data: bytes, words: int = WORDS) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long of the same bits. A null text has no words."""
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x.as_buffer().to_pybytes(), words) if x.is_valid else 0 for x in batch.column(1)]

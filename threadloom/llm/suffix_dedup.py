@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import bound_batches
+
 LENGTH, GRAM, SLACK = 100, 24, 16
 WINDOW = LENGTH - GRAM + 1
 #: Text bytes whose anchors share one group, text bytes hashed at a time, text bytes packed at a time.
@@ -334,6 +336,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts are empty. Rows that repeat both id and text are one document and get the same result each; rows with the same
     id and other text are separate documents, ordered by a hash of the text; rows without an id come after all others. An
     empty table gives no rows. Other columns are not read."""
+    bound_batches(docs.sparkSession)
     marked = identified(docs, id_col, text_col)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(8, math.ceil(total / bucket_bytes))
