@@ -1,20 +1,21 @@
-"""Registry of the engine's own queries and their oracle SQL."""
+"""All queries of the engine's own plans."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from . import conversations, dispatch, documents, stateful, texts  # noqa: F401  they register their queries
+from .base import QUERIES, SQL, Query
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the event-log plans are registered."""
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    """One folded row per conversation: messages, last ask, compaction point, tokens, compress decision."""
+    return conversations.replay_fold(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
