@@ -23,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bound_batches
+from .common import bound_batches, give_back
 
 LENGTH, GRAM, SLACK = 100, 24, 16
 WINDOW = LENGTH - GRAM + 1
 #: Text bytes whose anchors share one group, text bytes hashed at a time, text bytes packed at a time.
 BUCKET_BYTES, GROUP_BYTES, PART_BYTES = 24 << 20, 1 << 19, 1 << 23
+#: Groups of stretches that are sorted, for each bucket of anchors.
+PARTS = 4
 #: The place in the order of documents without an id.
 NO_ID = 2**63 - 1
 
@@ -141,6 +143,8 @@ def _dealt(buckets: int):
                 if found and (since >= PART_BYTES or last):
                     yield packed(found, doc, row)
                     found, since = [], 0
+            del data, batch
+            give_back()
 
     return run
 
@@ -153,6 +157,7 @@ def _ranges(doc, row, start, n, gram) -> pa.Table:
 
 def _matched(group: pa.Table) -> pa.Table:
     """Of one bucket: repeats (gram null), and the stretches whose bytes are wanted (gram set)."""
+    give_back()
     packed = [x.as_buffer() for x in group.column("packed").combine_chunks()]
     grams = np.concatenate([_unpack(x)[0][0] for x in packed])
     turn = np.argsort(grams, kind="stable")
@@ -202,22 +207,22 @@ def two_stage_sort(symbols: np.ndarray, head: np.ndarray, wanted: np.ndarray, de
     successor (and every end) is sorted directly; any other is put behind its bucket's earlier ones when the scan meets its
     successor. Only wanted suffixes and those that induce them are touched."""
     size = len(symbols)
-    following = np.concatenate([symbols[1:], [0]])
+    following = np.concatenate([symbols[1:], np.zeros(1, symbols.dtype)])
     # Type by the next different symbol of the same text: ends are the smallest, so runs never cross them.
     change = np.flatnonzero(symbols != following)
-    after = np.full(size, -1)
-    if len(change):
-        spot = np.searchsorted(change, np.arange(size))
-        inside = spot < len(change)
-        after[inside] = following[change[spot[inside]]]
+    runs = np.diff(np.concatenate([[-1], change]))
+    after = np.full(size, -1, np.int16)
+    after[: int(runs.sum())] = np.repeat(following[change], runs)
     direct = (symbols == 0) | (after > symbols)
+    del after, runs, change
     # A wanted suffix of the other kind needs its successors up to the next direct one.
-    touched = np.zeros(size + 1, int)
+    touched = np.zeros(size + 1, np.int32)
     stops = np.flatnonzero(direct)
     places = np.flatnonzero(wanted)
     np.add.at(touched, places, 1)
     np.add.at(touched, stops[np.searchsorted(stops, places)] + 1, -1)
-    needed = np.cumsum(touched)[:-1] > 0
+    needed = np.cumsum(touched, dtype=np.int32)[:-1] > 0
+    del touched, places, stops, following
     induced: list[list[np.ndarray]] = [[] for _ in range(257)]
     result = []
     sorted_direct = np.flatnonzero(direct & needed)
@@ -255,6 +260,7 @@ def equal_neighbours(symbols: np.ndarray, order: np.ndarray, length: int = LENGT
 
 def _sorted_repeats(group: pa.Table) -> pa.Table:
     """Of the stretches of one group: the windows that are equal to an earlier one of another stretch."""
+    give_back()
     doc, row, start, n = (group.column(c).to_numpy() for c in ("doc", "row", "start", "n"))
     turn = np.lexsort((start, row, doc))
     again = (np.diff(doc[turn]) == 0) & (np.diff(row[turn]) == 0) & (np.diff(start[turn]) == 0)
@@ -344,7 +350,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     matched = packed.groupBy("bucket").applyInArrow(_matched, RANGES)
     asked = matched.where("gram is not null")
     places = marked.join(asked, ["doc", "row"])
-    stretches = places.select("doc", "row", "start", "n", F.expr(f"substring(data, start + 1, n + {LENGTH - 1 + SLACK})").alias("bytes"), F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("part"))
+    stretches = places.select("doc", "row", "start", "n", F.expr(f"substring(data, start + 1, n + {LENGTH - 1 + SLACK})").alias("bytes"), F.pmod(F.xxhash64("gram"), F.lit(buckets * PARTS)).alias("part"))
     repeats = stretches.groupBy("part").applyInArrow(_sorted_repeats, RANGES)
     ranges = matched.where("gram is null").unionByName(repeats).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     joined = identified(docs, id_col, text_col, carry).join(ranges, ["doc", "row"], "left")
