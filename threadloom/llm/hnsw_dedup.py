@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, give_back, materialize
 from .simhash import _forest
 
 THRESHOLD = 0.98
@@ -218,6 +218,7 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _built(group: pa.Table) -> pa.Table:
+    give_back()
     group = group.sort_by("class_id")
     unit = _unit(group.column("vec"))
     rng = np.random.default_rng(0).permutation(len(unit))
@@ -230,6 +231,7 @@ def _built(group: pa.Table) -> pa.Table:
 
 def _found(threshold: float):
     def run(queries: pa.Table, graphs: pa.Table) -> pa.Table:
+        give_back()
         names = ["a", "b", "n"]
         if not queries.num_rows or not graphs.num_rows:
             return pa.table([pa.array([], pa.int64())] * 3, names=names)

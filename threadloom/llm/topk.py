@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .common import give_back
+
 K = 20
 SEGMENTS = 2
 QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 4096
@@ -45,6 +47,7 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    give_back()
     width = int(group["vec"].map(len).max())
     q, c = group[group["is_query"]], group[~group["is_query"]].sort_values("vec_id", kind="stable")
     return q["vec_id"].to_numpy(), _matrix(q["vec"], width), q["cutoff"].to_numpy(), c["vec_id"].to_numpy(), _matrix(c["vec"], width)
