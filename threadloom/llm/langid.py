@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import bound_batches
+from .common import bound_batches, give_back
 
 DIMENSIONS, N, SYMBOLS = 1024, 3, 64
 UNKNOWN = "und"
@@ -120,6 +120,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
             for lang, codes in by.items():
                 got = np.bincount(np.concatenate(codes), minlength=SYMBOLS**n)
                 counts[lang] = counts[lang] + got if lang in counts else got
+        give_back()
         sums = []
         for c in counts.values():
             seen = np.flatnonzero(c)
@@ -169,6 +170,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                     pred.append(langs[best] if known else UNKNOWN)
                     score.append(float(min(1.0, max(0.0, row[best]))) if known else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
+        give_back()
 
     return docs.select(*kept).mapInArrow(run, schema)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import bound_batches, materialize, spans_at_space
+from .common import bound_batches, give_back, materialize, spans_at_space
 
 CAPACITY = 2048
 END_ID = 0
@@ -145,6 +145,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, i
                     for column, value in zip(rows, (doc, k, start, len(part) // 4, zlib.crc32(part))):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     binary = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("data"))
     return binary.mapInArrow(cut, PIECES)

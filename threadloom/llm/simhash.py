@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bound_batches, connected_components, materialize, spans_at_space
+from .common import bound_batches, connected_components, give_back, materialize, spans_at_space
 
 WORDS, SEED, MOST_BITS = 3, 42, 2
 #: Signatures shared by more fingerprints are split once more, by thirds of the bits that may still differ.
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             found = [fingerprint(x.as_buffer().to_pybytes(), words) if x.is_valid else 0 for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.asarray(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("data")).mapInArrow(run, "doc_id long, fp long")
 
@@ -111,6 +112,8 @@ def _link(most: int):
             held_keys, held_fps = keys[last:], fps[last:]
             yield links(keys[:last], fps[:last])
         yield links(held_keys, held_fps)
+        parent.clear()
+        give_back()
 
     return run
 
