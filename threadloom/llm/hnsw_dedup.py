@@ -319,7 +319,7 @@ links as (
 reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
 parts as (select a, min(b) as low from reach group by a),
 counts as (select a, count(*) as n from links group by a)
-select e.vec_id, coalesce(n, 0)::bigint as n_links, least(e.vec_id, coalesce(low, e.vec_id)) as component_id,
+select e.vec_id, coalesce(counts.n, 0)::bigint as n_links, least(e.vec_id, coalesce(low, e.vec_id)) as component_id,
   e.vec_id = least(e.vec_id, coalesce(low, e.vec_id)) as kept
 from embeddings e left join parts on parts.a = e.vec_id left join counts on counts.a = e.vec_id
 """
