@@ -86,7 +86,8 @@ def _pairs(keys: np.ndarray, fps: np.ndarray, most: int) -> Iterator[tuple[np.nd
         at = at[keys[at] == keys[at + step]]
         if not len(at):
             return
-        near = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= most]
+        # Unsigned: of a negative number, bitwise_count would count the bits of its absolute value.
+        near = at[np.bitwise_count((fps[at] ^ fps[at + step]).view(np.uint64)) <= most]
         if len(near):
             yield fps[near], fps[near + step]
 
