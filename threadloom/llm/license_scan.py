@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import bound_batches
 
-#: Share of a template's words that may differ (rounded down, so short notices must be word for word).
+#: Share of a template's words that may differ (rounded down, so short notices must be word for word). Words with a digit, such
+#: as versions, may never differ.
 TOLERANCE = 0.1
 CUES = r"licen[cs]e|licensed|copyright|permission is|redistribution|public domain"
 
@@ -65,15 +66,15 @@ class Templates:
             out.append((len(self.plain.compress(block)) - len(self.given[name].compress(block)), name, sentence_at, end))
         return sorted(out, key=lambda x: (-x[0], x[1]))
 
-    def differences(self, name: str, block: str) -> tuple[int, int, str]:
-        """Words of the template that the block lacks, words it has instead, and both written out."""
+    def differences(self, name: str, block: str) -> tuple[list[str], list[str]]:
+        """Words of the template that the block lacks, and words it has instead."""
         ours, theirs = self.words[name], words(block)
         missing, added = [], []
         for kind, a, b, c, d in difflib.SequenceMatcher(None, ours, theirs, autojunk=False).get_opcodes():
             if kind != "equal":
                 missing += ours[a:b]
                 added += theirs[c:d]
-        return len(missing), len(added), " ".join([f"-{w}" for w in missing] + [f"+{w}" for w in added])
+        return missing, added
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,9 +102,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, tolerance: fl
                     for saved, name, start, end in known.ranked(at, text):
                         if saved <= 0:
                             break
-                        missing, added, wording = known.differences(name, text[start:end])
-                        if missing + added <= 2 * int(tolerance * len(known.words[name])):
-                            rows.append((doc, start, end, name, saved, missing, added, wording))
+                        missing, added = known.differences(name, text[start:end])
+                        same_numbers = not any(c.isdigit() for w in (*missing, *added) for c in w)
+                        if same_numbers and len(missing) + len(added) <= 2 * int(tolerance * len(known.words[name])):
+                            wording = " ".join([f"-{w}" for w in missing] + [f"+{w}" for w in added])
+                            rows.append((doc, start, end, name, saved, len(missing), len(added), wording))
                             done = end
                             break
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
