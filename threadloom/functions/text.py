@@ -31,7 +31,7 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def compress_trigger(limit: int) -> int:
-    """Tokens from which a history of this window is compressed; truncated toward zero, so it may be negative."""
+    """A history of more tokens than this is compressed; the double product is truncated toward zero, so it may be negative."""
     return int((limit - RESERVE) * TRIGGER)
 
 

@@ -63,7 +63,7 @@ def session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 select conv_id, count(case when role <> 'system' then 1 end) as n_messages, count(case when role = 'system' then 1 end) as n_compacted,
   arg_max(text, turn) filter (where role = 'user') as pending_ask, coalesce(arg_max(before, turn) filter (where role = 'system'), -1)::bigint as last_compacted_idx,
   (sum({tokens_sql("text")}) + 4 * count(*))::bigint as tokens,
-  sum({tokens_sql("text")}) + 4 * count(*) >= {T.compress_trigger(CONTEXT_LIMIT)} as compress from m group by conv_id""")
+  sum({tokens_sql("text")}) + 4 * count(*) > {T.compress_trigger(CONTEXT_LIMIT)} as compress from m group by conv_id""")
 def replay_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-01, E-02, E-03, F-10, I-01: the state of each conversation after its last event."""
     log = event_log(spark, sf_dir)
@@ -77,7 +77,7 @@ def replay_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.max_by("before", at("system")), F.lit(-1)).cast("long").alias("last_compacted_idx"),
         tokens.alias("tokens"),
     )
-    return folded.withColumn("compress", F.col("tokens") >= T.compress_trigger(CONTEXT_LIMIT))
+    return folded.withColumn("compress", F.col("tokens") > T.compress_trigger(CONTEXT_LIMIT))
 
 
 @query("read_model_from_log", "select conv_id, max(turn) as updated_seq, arg_max(text, turn) filter (where role = 'assistant') as current_config, count(*) as n_events from conversations group by conv_id")

@@ -32,10 +32,10 @@ def session_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_log(spark, sf_dir).groupBy("conv_id").agg((F.sum(T.estimate_tokens(F.col("content"))) + 4 * F.count(F.lit(1))).alias("tokens"))
 
 
-@query("should_compress", f"select conv_id, sum({tokens_sql('text')}) + 4 * count(*) >= {T.compress_trigger(10_000)} as tiny, sum({tokens_sql('text')}) + 4 * count(*) >= {T.compress_trigger(200_000)} as large from conversations group by conv_id")
+@query("should_compress", f"select conv_id, sum({tokens_sql('text')}) + 4 * count(*) > {T.compress_trigger(10_000)} as tiny, sum({tokens_sql('text')}) + 4 * count(*) > {T.compress_trigger(200_000)} as large from conversations group by conv_id")
 def should_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-03, I-02: a window below the reserve has a negative trigger and always compresses."""
-    return session_tokens(spark, sf_dir).select("conv_id", (F.col("tokens") >= T.compress_trigger(10_000)).alias("tiny"), (F.col("tokens") >= T.compress_trigger(200_000)).alias("large"))
+    return session_tokens(spark, sf_dir).select("conv_id", (F.col("tokens") > T.compress_trigger(10_000)).alias("tiny"), (F.col("tokens") > T.compress_trigger(200_000)).alias("large"))
 
 
 @query("redact_secrets", f"select doc_id, {_redact_sql(_SECRETS)} as redacted from documents")
