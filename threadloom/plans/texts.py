@@ -9,6 +9,7 @@ from ..sources.tables import event_log, table
 from .base import query
 from .conversations import tokens_sql
 
+#: A text with a secret of each kind before it. The SQL that was dealt ends the text after 80 (here) and 40 characters (below).
 _SECRETS = "concat('Authorization: Bearer ', md5(text), ' key=sk-', substr(md5(text), 1, 12), ' Cookie: sid=', md5(source), '; x-api-key: ', md5(lang), ' eyJ', md5(text), '.eyJ', md5(lang), '.', md5(source), ' ', substr(text, 1, 80))"
 
 
@@ -40,8 +41,9 @@ def should_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("redact_secrets", f"select doc_id, {_redact_sql(_SECRETS)} as redacted from documents")
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I-05."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.redact(F.expr(_SECRETS)).alias("redacted"))
+    """I-05, over whole texts; the SQL ends them after 80 characters."""
+    whole = F.expr(_SECRETS.replace("substr(text, 1, 80)", "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.redact(whole).alias("redacted"))
 
 
 _ODD_SQL = "substr(text, 1, 40) || chr(8203) || 'x' || chr(8238) || chr(65279) || chr(57344) || 'y' || chr(8288)"
@@ -49,15 +51,15 @@ _ODD_SQL = "substr(text, 1, 40) || chr(8203) || 'x' || chr(8238) || chr(65279) |
 
 @query("sanitize_ranges", f"select doc_id, regexp_replace({_ODD_SQL}, '{T.DROPPED}', '', 'g') as clean from documents")
 def sanitize_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I-03, the native part."""
-    odd = F.concat(F.substring("text", 1, 40), F.lit("​x‮﻿y⁠"))
+    """I-03, the native part, over whole texts; the SQL ends them after 40 characters."""
+    odd = F.concat(F.col("text"), F.lit("​x‮﻿y⁠"))
     return table(spark, sf_dir, "documents").select("doc_id", T.drop_invisible(odd).alias("clean"))
 
 
 @query("sanitize_nfkc")
 def sanitize_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I-03 with compatibility composition, which DuckDB lacks; tested against Python's own."""
-    odd = F.concat(F.lit("ＡＢＣ​①ﬁ"), F.substring("text", 1, 40))
+    odd = F.concat(F.lit("ＡＢＣ​①ﬁ"), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", T.sanitize(odd).alias("clean"))
 
 
