@@ -3,7 +3,7 @@
 Equal vectors of a label are one class. The classes of a label are dealt by hash into shards of bounded size; each shard builds
 a graph, and every class queries every shard of its label, in blocks. A query walks down the layers, searches the base layer with
 a beam, then keeps expanding whatever is within reach of the threshold. Beams widen until audited queries find all that brute
-force finds in the shard. Found pairs are verified by cosine in double precision, counted, and united into components."""
+force finds in the shard; queries are audited until enough of them had links, so where links are sparse all are. Found pairs are verified by cosine in double precision, counted, and united into components."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ from .simhash import _forest
 
 THRESHOLD = 0.98
 SHARD_ROWS = 8192
-#: Links per node above and on the base layer, beam while building, first beam of a query, queries audited per group.
+#: Links per node above and on the base layer, beam while building, first beam of a query, queries with links audited per group.
 LINKS, BASE_LINKS, BUILD_BEAM, BEAM, AUDITED = 12, 24, 32, 32, 256
 #: How far below the threshold a node may be and still be expanded, at first.
 SLACK = 0.03
@@ -229,7 +229,23 @@ def _built(group: pa.Table) -> pa.Table:
     return pa.table([*keys, pa.array([blob], pa.large_binary()).cast(pa.binary())], names=["label", "dims", "shard", "shards", "graph"])
 
 
-def _found(threshold: float):
+def _audit(x: np.ndarray, unit: np.ndarray, own: np.ndarray | None, threshold: float, audited: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Brute force over queries in random order until `audited` of them had a link, else over all of them: the queries asked, and
+    the (query, node) pairs they should find, their own nodes among them."""
+    turn = np.random.default_rng(len(x)).permutation(len(x))
+    found_q, found_i, linked, done = [], [], 0, 0
+    while done < len(x) and linked < audited:
+        part = turn[done : done + 256]
+        q, i = np.nonzero(x[part] @ unit.T >= threshold)
+        q = part[q]
+        found_q.append(q)
+        found_i.append(i)
+        linked += len(np.unique(q if own is None else q[own[q] != i]))
+        done += len(part)
+    return turn[:done], np.concatenate(found_q), np.concatenate(found_i)
+
+
+def _found(threshold: float, audited: int = AUDITED):
     def run(queries: pa.Table, graphs: pa.Table) -> pa.Table:
         give_back()
         names = ["a", "b", "n"]
@@ -240,8 +256,8 @@ def _found(threshold: float):
         turn = np.argsort(ids)
         own = turn[np.minimum(np.searchsorted(ids, mine, sorter=turn), len(ids) - 1)]
         own = own if (ids[own] == mine).all() else None
-        audit = np.unique(np.linspace(0, len(mine) - 1, min(AUDITED, len(mine))).astype(int))
-        truth = x[audit] @ unit.T >= threshold
+        audit, true_q, true_i = _audit(x, unit, own, threshold, audited)
+        truth = np.bincount(true_q, minlength=len(mine))[audit]
         beam, slack = BEAM, SLACK
         while True:
             q, i = graph.within(x, own, beam, threshold - slack)
@@ -254,7 +270,11 @@ def _found(threshold: float):
             q, i = q[cosine >= threshold], i[cosine >= threshold]
             got = np.zeros(len(mine), int)
             np.add.at(got, q, 1)
-            if (got[audit] >= truth.sum(axis=1)).all() or beam >= len(ids):
+            if (got[audit] >= truth).all():
+                break
+            if beam >= len(ids):  # what no beam reaches, but the audit saw
+                pairs = np.unique(np.concatenate([q * len(ids) + i, true_q * len(ids) + true_i]))
+                q, i = pairs // len(ids), pairs % len(ids)
                 break
             beam, slack = 2 * beam, 2 * slack
         other = ids[i] != mine[q]
@@ -268,7 +288,7 @@ def _found(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", audited: int = AUDITED) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Only vectors of one label and one length are compared. Vectors without a label, null, empty or zero vectors and vectors with
@@ -290,7 +310,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows
     left = dealt.select("label", "dims", F.col("shard").alias("block"), "class_id", "vec", every.alias("shard"))
     right = graphs.select("label", "dims", "shard", "graph", every.alias("block"))
     keys = ["label", "dims", "shard", "block"]
-    found = materialize(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_found(threshold), "a long, b long, n long"))
+    found = materialize(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_found(threshold, audited), "a long, b long, n long"))
     linked = found.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
     parts = connected_components(found.where("b is not null").select("a", "b"))
     named = classes.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id")).join(linked, "class_id")
