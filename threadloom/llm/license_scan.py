@@ -1,6 +1,6 @@
 """License scan by conditional compression.
 
-Blocks of text that open with a sentence holding a cue word are compressed with Zstandard, once plainly and once per template with
+Blocks of text that open with a sentence holding a cue word, or inside it where a template's words would lie around the cue, are compressed with Zstandard, once plainly and once per template with
 the template as raw dictionary. The template that saves most is the candidate; it is confirmed by the exact differences of
 wording between template and block."""
 
@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import difflib
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,18 +55,25 @@ class Templates:
         raw = lambda t: zstd.ZstdCompressionDict(t.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
         self.given = {k: zstd.ZstdCompressor(level=19, dict_data=raw(t)) for k, t in templates.items()}
 
-    def ranked(self, sentence_at: int, text: str) -> list[tuple[int, str, int, int]]:
-        """(bytes saved, template, start, end of its block), most first; a template's block has as many words as it."""
+    def ranked(self, sentence_at: int, text: str, cue_at: int, after: int, starts: array, ends: array) -> list[tuple[int, str, int, int]]:
+        """(bytes saved, template, start, end of its block), most first; a template's block has as many words as it.
+
+        Blocks begin at the sentence, at words up to the cue that equal the template's first, and where the cue's word would
+        stand as in the template; none before `after`, where the block before ends. starts, ends: where the words of the text lie."""
         out = []
+        sentence, cue = bisect_left(starts, sentence_at), bisect_right(starts, cue_at) - 1
+        low = bisect_left(starts, after)
+        word = lambda k: text[starts[k] : ends[k]].lower()
         for name, own in self.words.items():
-            end, n = sentence_at, 0
-            for m in _WORD.finditer(text, sentence_at):
-                if n == len(own):
-                    break
-                end, n = m.end(), n + 1
-            block = text[sentence_at:end].encode("utf-8", "replace")
-            out.append((len(self.plain.compress(block)) - len(self.given[name].compress(block)), name, sentence_at, end))
-        return sorted(out, key=lambda x: (-x[0], x[1]))
+            near = {k for k in range(max(low, cue - len(own)), cue + 1) if own and word(k) == own[0]}
+            near |= {cue - k for k, w in enumerate(own) if cue - k >= low and w == word(cue)}
+            for first in sorted(near | ({sentence} if sentence_at >= after else set())):
+                at = sentence_at if first == sentence else starts[first]
+                last = min(first + len(own), len(ends)) - 1
+                end = ends[last] if last >= first else at
+                block = text[at:end].encode("utf-8", "replace")
+                out.append((len(self.plain.compress(block)) - len(self.given[name].compress(block)), name, at, end))
+        return sorted(out, key=lambda x: (-x[0], x[1], x[2]))
 
     def differences(self, name: str, block: str) -> tuple[list[str], list[str]]:
         """Words of the template that the block lacks, and words it has instead."""
@@ -93,13 +102,17 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, tolerance: fl
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 done = 0
+                starts, ends = array("q"), array("q")
+                for m in _WORD.finditer(text):
+                    starts.append(m.start())
+                    ends.append(m.end())
                 for hit in cue.finditer(text):
                     if hit.start() < done:
                         continue
                     line = text.rfind("\n", 0, hit.start()) + 1
                     sentence = next(m for m in _SENTENCE.finditer(text, line) if m.end() >= hit.end())
                     at = sentence.start() + len(sentence.group()) - len(sentence.group().lstrip())
-                    for saved, name, start, end in known.ranked(at, text):
+                    for saved, name, start, end in known.ranked(at, text, hit.start(), done, starts, ends):
                         if saved <= 0:
                             break
                         missing, added = known.differences(name, text[start:end])
