@@ -5,7 +5,7 @@ import unicodedata
 import duckdb
 import pytest
 
-from threadloom.plans import registry
+from threadloom.plans import conversations, registry
 
 FAR = "word " * 40
 
@@ -47,3 +47,13 @@ def test_sanitize_nfkc_reaches_the_end(spark, folder):
     got = of(spark, folder, "sanitize_nfkc", "clean")
     assert got[2] == f"ABC1fi{FAR}abcd fiA end" and got[3] is None
     assert unicodedata.is_normalized("NFKC", got[2])
+
+
+def test_replay_has_every_conversation(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c"), (3, 0, "system", "d"), (None, 0, "user", "e")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    key = lambda r: (r[0] is None, r)
+    assert sorted(map(tuple, registry.queries()["replay_messages"](spark, str(tmp_path)).collect()), key=key) == rows
+    log = conversations.event_log(spark, str(tmp_path))
+    assert sorted(map(tuple, conversations.messages(log, [1, 3], ["user", "system"]).collect())) == [rows[0], rows[3]]
+    assert conversations.messages(log, []).count() == 0

@@ -40,10 +40,19 @@ def latest_by_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_meta(spark, sf_dir).groupBy("user_id", "context_key").agg(F.max_by("conv_id", F.struct("updated_at", "conv_id")).alias("conv_id"))
 
 
+def messages(log: DataFrame, conversations: list[int] | None = None, kinds: list[str] | None = None) -> DataFrame:
+    """conv_id, seq, role, content: the messages of the log, of all conversations and kinds unless some are named."""
+    if conversations is not None:
+        log = log.where(F.col("conv_id").isin(conversations))
+    if kinds is not None:
+        log = log.where(F.col("kind").isin(kinds))
+    return log.select("conv_id", "seq", F.col("kind").alias("role"), "content")
+
+
 @query("replay_messages", "select conv_id, turn as seq, role, text as content from conversations where conv_id % 2 = 0")
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-01, C-02, G-02: the messages of some conversations."""
-    return event_log(spark, sf_dir).where("conv_id % 2 = 0").select("conv_id", "seq", F.col("kind").alias("role"), "content")
+    """A-01, C-02, G-02: the messages of every conversation; the SQL has those of even conv_id only."""
+    return messages(event_log(spark, sf_dir))
 
 
 @query("messages_user_assistant", "select conv_id, turn as seq, role, text as content from conversations where role in ('user', 'assistant')")
