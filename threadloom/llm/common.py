@@ -15,10 +15,13 @@ WORD_SQL = WORD.replace("\\", "\\\\")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that the driver and every executor see: spark.checkpoint.dir, or one of our own where it is unset and driver and
+    executors are one process (tests). On a cluster without the setting there is no such folder, which is an error."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and every executor share")
         found = tempfile.mkdtemp(prefix="threadloom-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
@@ -31,6 +34,27 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key with at least one in so many rows is hot; there are at most so many such keys.
+HOT_KEYS = 1000
+
+
+def look_up(rows: DataFrame, found: DataFrame, key: str, count: str) -> DataFrame:
+    """`rows` with the other columns of `found` (one row per key; null where a row has none), whatever share of them one key holds.
+
+    count: the column of `found` that says how many of `rows` have the key; it goes. Keys of at least a HOT_KEYS-th of all rows,
+    of which there are HOT_KEYS at most, are broadcast; their rows then meet the other join under keys of their own (a hash of the
+    row), so no task gets more of one key than that share. `found` is read three times and should be materialized."""
+    values = [c for c in found.columns if c not in (key, count)]
+    total = found.agg(F.sum(count)).first()[0] or 0
+    hot = found.where(F.col(count) >= max(2, total / HOT_KEYS)).select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    own = F.when(F.col("_hot_key").isNull(), F.struct(F.col(key).alias("k"), F.lit(0).cast("long").alias("r"))).otherwise(F.struct(F.col(key).alias("k"), F.xxhash64(*rows.columns).bitwiseOR(F.lit(1)).alias("r")))
+    rest = found.where(F.col(count) < max(2, total / HOT_KEYS)).select(F.struct(F.col(key).alias("k"), F.lit(0).cast("long").alias("r")).alias("_own"), F.struct(*values).alias("_rest"))
+    joined = marked.withColumn("_own", own).join(rest, "_own", "left")
+    picked = F.coalesce("_hot", "_rest")
+    return joined.select(*rows.columns, *[picked[c].alias(c) for c in values])
+
+
 def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
     """Hold the Arrow batches in which whole texts go to Python to a size that does not depend on how long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
