@@ -7,11 +7,14 @@ task ever orders a whole source."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import WORD_SQL
 
-RANGES = 1024
+#: Rows of a source that share a range of the key, on average, when the source holds all rows.
+RANGE_ROWS = 1 << 16
 WEIGHTS = (5, 2, 1)
 MOST = 3
 
@@ -46,30 +49,54 @@ def targets(source_sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return levels.withColumn("at", level).select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.col("at") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, ranges: int = RANGES, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, **cols: str) -> DataFrame:
+def mix(docs: DataFrame, ranges: int | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, **cols: str) -> DataFrame:
     """One row per document: id, source, size, source_size, target, taken (words taken, repeats counted).
 
     The budget is the target rounded to whole words: `epochs` whole passes, then documents in key order until the rest is
     spent; the document at the cut gives only its first words, so a source's taken words are its budget exactly. Documents
     without words take nothing. Null texts have size 0; a null source is a source of its own; an empty table gives no
-    rows; repeated rows are separate documents; other columns are not read."""
+    rows; repeated rows are separate documents; other columns are not read. ranges: by default one for each RANGE_ROWS rows of
+    the table, so that no task orders more of a hot source; their number does not change the result."""
     id_col = cols.get("id_col", "doc_id")
+    ranges = ranges or max(64, math.ceil(docs.count() / RANGE_ROWS))
     thin = sized(docs, **cols).withColumn("range", (F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") * ranges / F.lit(2**32)).cast("int"))
     thin = thin.repartition("source", "range")
     sums = thin.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     goals = targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, most).withColumn("budget", F.round("target").cast("long"))
     over = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("range_start", F.coalesce(F.sum("range_size").over(over), F.lit(0))).drop("range_size")
+    # Sources meet their goals here, at one row per range, so that no row of a document is dealt by source alone.
+    starts = starts.alias("r").join(goals.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).select("r.source", "r.range", "range_start", "source_size", "target", "budget")
     inside = Window.partitionBy("source", "range").orderBy("mix_key", id_col, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ordered = thin.withColumn("upto", F.sum("size").over(inside))
     placed = ordered.alias("o").join(starts.alias("s"), F.col("o.source").eqNullSafe(F.col("s.source")) & (F.col("o.range") == F.col("s.range")))
-    placed = placed.select(F.col(f"o.{id_col}"), F.col("o.source").alias("source"), "size", "mix_key", (F.col("range_start") + F.col("upto") - F.col("size")).alias("before"))
-    joined = placed.alias("p").join(goals.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source")))
+    joined = placed.select(F.col(f"o.{id_col}"), F.col("o.source").alias("source"), "size", "mix_key", (F.col("range_start") + F.col("upto") - F.col("size")).alias("before"), "source_size", "target", "budget")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("budget") - F.col("epochs") * F.col("source_size")
     part = F.least(F.greatest(rest - F.col("before"), F.lit(0)), F.col("size"))
     joined = joined.withColumn("epochs", epochs).withColumn("part", part)
-    return joined.select(id_col, F.col("p.source").alias("source"), "size", "mix_key", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+    return joined.select(id_col, "source", "size", "mix_key", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+
+
+def drawn(docs: DataFrame, text_col: str = "text", source_col: str = "source", **cols: str) -> DataFrame:
+    """The rows of `docs` as the mix has them: once per epoch, and the row at a source's cut with its first words only.
+
+    Rows with equal id, text and source are told apart by counting: of each such group, the mix says how many are taken whole
+    and how many words of one more. The window that counts them and the join share one exchange of the texts."""
+    pick = lambda key, source: F.md5(F.concat_ws("|", key, F.coalesce(F.concat(F.lit("of "), source), F.lit("none"))))
+    cut = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.col("part"))
+    taken = mix(docs, text_col=text_col, source_col=source_col, **cols).where("taken > 0").groupBy(pick(F.col("mix_key"), F.col("source")).alias("_pick"))
+    taken = taken.agg(F.max("epochs").alias("_epochs"), F.max("size").alias("_size"), F.count_if((F.col("part") > 0) & (F.col("part") == F.col("size"))).alias("_whole"), F.max(cut).alias("_cut"))
+    place = F.row_number().over(Window.partitionBy("_pick").orderBy("_pick"))
+    numbered = docs.withColumn("_pick", pick(mix_key(cols.get("id_col", "doc_id"), text_col), F.col(source_col))).withColumn("_place", place)
+    joined = numbered.join(taken, "_pick")
+    part = F.when(F.col("_place") <= F.col("_whole"), F.col("_size")).when(F.col("_place") == F.col("_whole") + 1, F.coalesce("_cut", F.lit(0))).otherwise(0)
+    copies = F.when(part > 0, F.concat(F.array_repeat(F.lit(None).cast("long"), F.col("_epochs").cast("int")), F.array(part.cast("long")))).otherwise(F.array_repeat(F.lit(None).cast("long"), F.col("_epochs").cast("int")))
+    word = f"[\\\\x20\\\\x09-\\\\x0D]*{WORD_SQL}"
+    first_words = F.expr(f"array_join(slice(regexp_extract_all(`{text_col}`, '{word}', 0), 1, cast(_words as int)), '')")
+    each = joined.withColumn("_words", F.explode(copies))
+    text = F.when(F.col("_words") < F.col("_size"), first_words).otherwise(F.col(text_col))
+    return each.withColumn(text_col, text).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
