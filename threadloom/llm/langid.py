@@ -11,8 +11,10 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType
 
 from .common import bound_batches, give_back
 
@@ -26,13 +28,20 @@ _CHUNK, _GROUP, MOST_KEPT = 1 << 20, 128, 8192
 def _symbols() -> np.ndarray:
     """Symbol of every code point: a to z are 1 to 26, other letters share the rest by code point, anything else is 0."""
     table = np.zeros(0x110000, np.uint8)
-    for cp in range(0x30000):
+    for cp in range(0x110000):
         c = chr(cp)
         if unicodedata.category(c)[0] == "L":
             table[cp] = cp - 96 if "a" <= c <= "z" else 27 + cp % (SYMBOLS - 27)
     return table
 
 
+@F.pandas_udf(BooleanType())
+def has_letter(text: pd.Series) -> pd.Series:
+    """Whether a text has a letter, by the same table of letters as the profiles; null has none."""
+    table = profiles(DIMENSIONS, N).table
+    return text.map(lambda t: t is not None and any(table[np.frombuffer(t[i : i + _CHUNK].encode("utf-32-le", "replace"), np.uint32)].any() for i in range(0, len(t), _CHUNK)))
+
+
 class Profiles:
     """Letter vectors and the n-gram vectors bound so far, the same in every process."""
 
@@ -112,25 +121,21 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
 
     def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = profiles(dimensions, n)
-        counts: dict[str, np.ndarray] = {}
+        sums: dict[str, np.ndarray] = {}  # one vector per language is all that is held; sums of integers, so their order is free
         for batch in batches:
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 by.setdefault(lang, []).append(p.codes(text.as_py()))
             for lang, codes in by.items():
-                got = np.bincount(np.concatenate(codes), minlength=SYMBOLS**n)
-                counts[lang] = counts[lang] + got if lang in counts else got
+                counts = np.bincount(np.concatenate(codes), minlength=SYMBOLS**n)
+                seen = np.flatnonzero(counts)
+                total = sums.setdefault(lang, np.zeros(dimensions))
+                for i in range(0, len(seen), 4096):
+                    part = seen[i : i + 4096]
+                    total += counts[part].astype(np.float64) @ p.vectors(part)
         give_back()
-        sums = []
-        for c in counts.values():
-            seen = np.flatnonzero(c)
-            total = np.zeros(dimensions)
-            for i in range(0, len(seen), 4096):
-                part = seen[i : i + 4096]
-                total += c[part].astype(np.float64) @ p.vectors(part)
-            sums.append(total)
-        rows = [(lang, i, float(v)) for lang, total in zip(counts, sums) for i, v in enumerate(total)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64())], names=["lang", "i", "v"])
+        for lang, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions, pa.string()), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(total)], names=["lang", "i", "v"])
 
     bound_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
