@@ -6,12 +6,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from threadloom.llm import hnsw_dedup, langid, license_scan, packing, sharding, simhash, suffix_dedup, warc
+from threadloom.llm import hnsw_dedup, langid, license_scan, packing, sharding, simhash, suffix_dedup, topk, warc
 
 
 def docs_of(folder):
@@ -215,3 +216,29 @@ def test_graph_shards_find_what_brute_force_finds(spark, odd_dir):
     one, many = (Counter(map(tuple, hnsw_dedup.near_duplicates(vectors, shard_rows=n).collect())) for n in (8192, 7))
     assert one == many
     assert hnsw_dedup.near_duplicates(vectors).where(F.col("n_links") > 0).count() > 30
+
+
+@pytest.mark.parametrize("segments", [1, 2, 3, 5])
+def test_reaching_finds_all_entries_at_the_cutoff(segments):
+    rng = np.random.default_rng(segments)
+    for low, high in ((-9, 10), (-3, 4), (-50, -10), (0, 1)):
+        for _ in range(50):
+            rows = list(rng.integers(low, high, (segments, 40)).astype(float))
+            total = sum(rows)
+            for cut in (int(total.max()), int(np.sort(total)[-5]), int(total.min()), int(total.max()) + 1, -(2**63)):
+                at, found = topk.reaching(rows, cut)
+                assert at.tolist() == np.flatnonzero(total >= cut).tolist() and found.tolist() == total[at].tolist()
+
+
+def test_top_k_in_many_blocks_and_segments(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.randrange(-2, 3) / 4 for _ in range(7)]) for i in range(150)]
+    vectors = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    whole = {i: [int(64 * x) for x in v] for i, v in rows}
+    want = set()
+    for q in range(0, 150, 20):
+        best = sorted(((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in whole if c != q))[:20]
+        want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(best)}
+    for segments in (1, 2, 4):
+        got = topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), segments=segments, query_block=3, candidate_block=40)
+        assert set(map(tuple, got.collect())) == want

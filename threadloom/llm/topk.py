@@ -1,10 +1,12 @@
 """Exact top-k search by inner product, in three phases with a uniform threshold.
 
-A vector's score is the sum of its scores on SEGMENTS groups of dimensions, so every block of candidates holds one local score
-list per segment. Phase 1 gathers each block's best scores per query. The k-th best of them is a safe cutoff: no answer scores
-less. Phase 2 sends the cutoff back to the blocks; an entry can reach it only if one of its segments reaches cutoff / SEGMENTS,
-the uniform threshold, so just these entries are collected. Phase 3 sums their remaining segments exactly and keeps what reaches
-the cutoff. Queries and candidates meet in bounded blocks; nothing is broadcast or gathered on the driver but two counts."""
+A vector's score is the sum of its scores on SEGMENTS groups of dimensions; every block of candidates holds one score list per
+segment. Phase 1: each block takes the k best of each of its lists, resolves the totals of these few entries alone, and sends the
+best k of them. The k-th best that all blocks sent is a safe cutoff: so many entries reach it, and no answer scores less. Phase 2:
+the cutoff goes back to the blocks; an answer needs at least cutoff / SEGMENTS, the uniform threshold, in one of its lists, so
+each list gives the entries that have it. Phase 3: an entry's lists that did not give it hold less than the threshold, which
+bounds its total; the entries that can still reach the cutoff have their missing scores looked up, and what reaches it is
+collected. Queries and candidates meet in bounded blocks; nothing is broadcast or gathered on the driver but two counts."""
 
 from __future__ import annotations
 
@@ -68,39 +70,55 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return at
 
 
-def _phase_one(k: int):
+def _lists(q: np.ndarray, c: np.ndarray, segments: int) -> list[np.ndarray]:
+    """The score lists of a block: one table (query, candidate) per segment."""
+    edges = np.linspace(0, q.shape[1], segments + 1).astype(int)
+    return [_products(q[:, a:b], c[:, a:b]) for a, b in zip(edges, edges[1:])]
+
+
+def _phase_one(k: int, segments: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         qid, q, _, cid, c = _sides(group)
         out = []
         if len(qid) and len(cid):
             for part in _chunks(len(qid)):
-                total = _products(q[part], c)
-                for i, row in zip(qid[part], total):
-                    row = row[cid != i]
-                    top = row[_best(row, k)]
-                    out.append((i, [int(x) for x in sorted(top, reverse=True)]))
+                lists = _lists(q[part], c, segments)
+                for n, i in enumerate(qid[part]):
+                    others = np.flatnonzero(cid != i)
+                    seen = np.unique(np.concatenate([others[_best(segment[n][others], k)] for segment in lists]))
+                    total = sum(segment[n][seen] for segment in lists)
+                    out.append((i, [int(x) for x in sorted(total[_best(total, k)], reverse=True)]))
         return pd.DataFrame(out, columns=["query_id", "scores"])
 
     return run
 
 
+def reaching(rows: list[np.ndarray], cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one query's lists: (positions, totals) of all entries whose total is at least `cut`.
+
+    Each list gives its entries at the threshold cut / len(rows) or above; the total of an entry is at most what was given plus
+    less than a threshold for each list that did not give it. Totals are resolved for entries that this bound lets through."""
+    m = len(rows)
+    given = np.stack([row * m >= cut for row in rows])
+    at = np.flatnonzero(given.any(axis=0))
+    known = sum(np.where(g[at], row[at], 0) for g, row in zip(given, rows))
+    missing = m - given[:, at].sum(axis=0)
+    at = at[(known * m + missing * cut > cut * m) | (missing == 0)] if m > 1 else at
+    total = sum(row[at] for row in rows)
+    return at[total >= cut], total[total >= cut]
+
+
 def _phase_two(k: int, segments: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         qid, q, cutoff, cid, c = _sides(group)
         out: list[tuple] = []
         if len(qid) and len(cid):
-            edges = np.linspace(0, q.shape[1], segments + 1).astype(int)
             for part in _chunks(len(qid)):
-                lists = [_products(q[part][:, a:b], c[:, a:b]) for a, b in zip(edges, edges[1:])]
+                lists = _lists(q[part], c, segments)
                 for n, (i, cut) in enumerate(zip(qid[part], cutoff[part])):
-                    rows = [segment[n] for segment in lists]
-                    reach = np.zeros(len(cid), bool)
-                    for row in rows:
-                        reach |= row * segments >= int(cut)
-                    at = np.flatnonzero(reach & (cid != i))
-                    exact = sum(row[at] for row in rows)
-                    at, exact = at[exact >= int(cut)], exact[exact >= int(cut)]
-                    out += [(i, cid[at[j]], int(exact[j])) for j in _best(exact, k)]
+                    at, total = reaching([segment[n] for segment in lists], int(cut))
+                    at, total = at[cid[at] != i], total[cid[at] != i]
+                    out += [(i, cid[at[j]], int(total[j])) for j in _best(total, k)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return run
@@ -122,7 +140,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, segments: int = SE
     def asked(q: DataFrame) -> DataFrame:
         return q.select(F.lit(True).alias("is_query"), "vec_id", "vec", "cutoff", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"), block(n_q, 1).alias("qb")).unionByName(candidates)
 
-    lists = asked(queries.withColumn("cutoff", F.lit(None).cast("long"))).groupBy("qb", "cb").applyInPandas(_phase_one(k), "query_id long, scores array<long>")
+    lists = asked(queries.withColumn("cutoff", F.lit(None).cast("long"))).groupBy("qb", "cb").applyInPandas(_phase_one(k, segments), "query_id long, scores array<long>")
     # Two steps, so that no group holds more than k scores of each of 64 blocks at once.
     merged = lambda df, *by: df.groupBy(*by).agg(F.slice(F.sort_array(F.flatten(F.collect_list("scores")), False), 1, k).alias("scores"))
     lists = merged(merged(lists.withColumn("part", F.pmod(F.xxhash64("scores"), F.lit(math.ceil(n_c / 64)))), "query_id", "part"), "query_id")
