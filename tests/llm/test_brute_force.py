@@ -132,6 +132,22 @@ def test_sharding(spark, odd_dir):
         by[r.shard].append(r.slot)
         assert r.law == "bytes" and 0 <= r.shard < 24 and r.grown_shard is None
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert {r.map_version for r in got} == {1} and all(r.next_shard in (24, r.shard) for r in got)
+    assert len({(r.virtual_slot, r.shard, r.next_shard) for r in got}) == len({r.virtual_slot for r in got})
+
+
+def test_sharding_balances_bytes(spark):
+    rng = random.Random(4)
+    texts = ["é" * rng.randrange(1, 2000) if k % 3 else "copy " * 100 for k in range(30_000)] + ["x" * 150_000, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = sharding.build_map(docs, 24)
+    for m, shards in ((first, 24), (sharding.rebalanced(first, 25), 25), (sharding.rebalanced(first, 20), 20)):
+        held = Counter()
+        for r in sharding.assign(docs, m).select("shard", "size").collect():
+            held[r.shard] += r["size"]
+        mean = sum(held.values()) / shards
+        assert sum(held.values()) == sum(len((t or "").encode()) + 8 for t in texts) and len(held) == shards
+        assert max(held.values()) <= 1.01 * mean and min(held.values()) >= 0.99 * mean
 
 
 def test_sharding_map_versions(spark, odd_dir, tmp_path):
@@ -142,7 +158,7 @@ def test_sharding_map_versions(spark, odd_dir, tmp_path):
     was = {r[1]: r[2] for r in first}
     assert all(r[2] in (8, was[r[1]]) for r in grown)
     assert {r[2] for r in sharding.rebalanced(grown, 3)} == {0, 1, 2}
-    for m in (first, grown):
+    for m in (first, grown, grown):
         sharding.save_map(spark, m, str(tmp_path / "map"))
     assert sharding.load_map(spark, str(tmp_path / "map"), 1) == first and sharding.load_map(spark, str(tmp_path / "map")) == grown
 

@@ -6,9 +6,12 @@ fixed by a parameter, so it may be held on the driver and broadcast whatever the
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .common import shared_dir
+
 SLOTS = 4096
 MAP_SCHEMA = "version int, virtual_slot int, shard int, bytes long, rows long"
 
@@ -84,8 +87,9 @@ def build_map(docs: DataFrame, shards: int, slots: int = SLOTS, **cols: str) ->
 
 
 def save_map(spark: SparkSession, rows: list[tuple], path: str) -> None:
-    """Append a version to the stored map; older versions stay readable."""
-    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Store one version of the map beside the others, which stay readable; writing a version again replaces it."""
+    version = rows[0][0]
+    spark.createDataFrame([r[1:] for r in rows], MAP_SCHEMA.split(", ", 1)[1]).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> list[tuple]:
@@ -122,7 +126,15 @@ def assign(docs: DataFrame, slot_map: list[tuple], slots: int = SLOTS, id_col: s
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents into 24 shards whose sizes are near equal (law `bytes`)."""
+    """All documents into 24 shards whose sizes are near equal (law `bytes`).
+
+    The map is stored in the shared folder as version 1 and edited into version 2, which has one more shard; both are read back.
+    shard and slot follow version 1; next_shard is where version 2 puts the record, which is its shard or the new one."""
+    path = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = assign(docs, build_map(docs, 24))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+    save_map(spark, build_map(docs, 24), path)
+    save_map(spark, rebalanced(load_map(spark, path), 25), path)
+    moved = {slot: shard for _, slot, shard, _, _ in load_map(spark, path, 2)}
+    grown = spark.createDataFrame(sorted(moved.items()), "virtual_slot int, next_shard int")
+    out = assign(docs, load_map(spark, path, 1)).join(F.broadcast(grown), "virtual_slot")  # SLOTS rows
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", "next_shard")
