@@ -66,8 +66,9 @@ def test_simhash_links_with_crowded_signatures(spark, hot):
     assert same(lambda i, j: (fps[i], fps[j]) in pairs) == same(lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
 
 
+@pytest.mark.parametrize("hot", [1, 4, suffix_dedup.HOT_GRAM])
 @pytest.mark.parametrize("where", ["odd_dir", "small_dir"])
-def test_suffix_dedup(spark, where, request):
+def test_suffix_dedup(spark, where, hot, request):
     folder = request.getfixturevalue(where)
     docs = docs_of(folder)
     unique = sorted(set(docs), key=lambda d: (d[0] is None, d[0] or 0))  # rows that repeat id and text are one document
@@ -81,7 +82,7 @@ def test_suffix_dedup(spark, where, request):
         spans = bytes(gone).replace(b"\x00", b" ").split()
         left = bytes(c for c, g in zip(data, gone) if not g)
         want[doc, text] = (doc, len(data), sum(gone), len(spans), hashlib.sha256(left).hexdigest())
-    got = suffix_dedup.op8_suffix_dedup(spark, folder).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    got = suffix_dedup.op8_suffix_dedup(spark, folder, hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert Counter(map(tuple, got)) == Counter(want[d] for d in docs)
     assert any(w[2] for w in want.values())
 

@@ -5,8 +5,10 @@ A byte goes if a LENGTH-byte string that covers it also starts earlier, in a sma
 1. Every window of LENGTH bytes has a leftmost smallest gram; equal windows have it at the same place. A document thus falls into
    anchors, each with a run of window starts. Only fixed-size records of the anchors travel, packed by gram. Anchors whose gram
    is nowhere else hold no repeated window and end here.
-2. Anchors with one gram whose whole stretch of text is the same are one string; all but the earliest are repeats. Where a
-   gram stands in different stretches, the earliest of each sends its bytes to the gram's group.
+2. Anchors with one gram whose whole stretch of text is the same (by two independent 64-bit hashes of it) are one string; all but
+   the earliest are repeats. Where a gram stands in different stretches, the earliest of each sends its bytes to the gram's
+   group. A gram in very many stretches is told apart by more context: its windows are dealt in CLASSES by where the gram
+   stands in them, and grouped by the bytes that all windows of a class share.
 3. A group's suffixes are sorted in two stages: those smaller than their successors directly, the rest induced by scanning the
    buckets in order. Adjacent common prefixes of LENGTH bytes form the runs of equal windows; all but a run's earliest are repeats.
 4. Repeats are gathered per document, merged into spans and cut out.
@@ -15,7 +17,6 @@ Groups are keyed by content, so equal windows always meet, and nothing depends o
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bound_batches, give_back
+from .common import bound_batches, give_back, materialize
 
 LENGTH, GRAM, SLACK = 100, 24, 16
 WINDOW = LENGTH - GRAM + 1
@@ -31,10 +32,12 @@ WINDOW = LENGTH - GRAM + 1
 BUCKET_BYTES, GROUP_BYTES, PART_BYTES = 24 << 20, 1 << 19, 1 << 23
 #: Groups of stretches that are sorted, for each bucket of anchors.
 PARTS = 4
+#: Grams in more different stretches are dealt by context; classes of windows by the place of the gram in them.
+HOT_GRAM, CLASSES = 2048, 4
 #: The place in the order of documents without an id.
 NO_ID = 2**63 - 1
 
-RANGES = "doc long, row long, start int, n int, gram long"
+RANGES = "doc long, row long, start int, n int, gram long, at int"
 
 
 def gram_hashes(x: np.ndarray) -> np.ndarray:
@@ -64,12 +67,12 @@ def window_minima(h: np.ndarray) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text number, first window start, windows, gram hash, hash of the stretch) of every anchor, in order."""
+    """(text number, first window start, windows, gram hash, two hashes of the stretch, place of the gram) of every anchor, in order."""
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     x = np.frombuffer(b"".join(texts), np.uint8)
     if not len(x) or sizes.max(initial=0) < LENGTH:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.uint8))
     h = gram_hashes(x)
     at = window_minima(h)
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(at)]
@@ -82,36 +85,45 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     stretch = n.astype(np.uint64)
     for k in range(-(-(WINDOW + LENGTH) // GRAM)):
         stretch = (stretch ^ (stretch >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[np.minimum(low + k * GRAM, last)]
-    return owner, low - (ends - sizes)[owner], n, gram, stretch
+    # The second one reads the bytes themselves, eight at a time, the last eight last.
+    words = np.ndarray((len(x) - 7,), "<u8", x.data, 0, (1,))
+    second, last = n.astype(np.uint64), low + n - 1 + LENGTH - 8
+    for k in range(-(-(WINDOW + LENGTH) // 8)):
+        second = (second ^ (second >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + words[np.minimum(low + 8 * k, last)] * np.uint64(0x9E3779B97F4A7C15)
+    return owner, low - (ends - sizes)[owner], n, gram, stretch, second, (at[first] - low).astype(np.uint8)
 
 
-def _pack(bucket: int, keep: tuple, gone: tuple, doc: np.ndarray, row: np.ndarray) -> bytes:
-    (own, start, n, gram, stretch), (own2, start2, n2) = keep, gone
-    used, number = np.unique(np.concatenate([own, own2]), return_inverse=True)
-    parts = [np.array([len(own), len(own2), len(used)], "<i8"), gram, stretch, doc[used], row[used], number.astype("<u4"), np.concatenate([start, start2]).astype("<i4"), np.concatenate([n, n2]).astype("u1")]
+def _pack(keep: tuple, gone: tuple, doc: np.ndarray, row: np.ndarray) -> bytes:
+    (own, start, n, gram, stretch, second, at), (own2, start2, n2) = keep, gone
+    used = np.union1d(own, own2)
+    counts = [np.bincount(np.searchsorted(used, o), minlength=len(used)) for o in (own, own2)]  # anchors are in order of their texts
+    parts = [np.array([len(own), len(own2), len(used)], "<i8"), gram, stretch, second, doc[used], row[used], *(c.astype("<u4") for c in counts), np.concatenate([start, start2]).astype("<i4"), np.concatenate([n, n2]).astype("u1"), at]
     return b"".join(p.tobytes() for p in parts)
 
 
 def _unpack(data: bytes | pa.Buffer) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(gram, stretch, second, doc, row, start, n, at) of the anchors that were kept, (doc, row, start, n) of the repeats."""
     a, b, used = np.frombuffer(data, "<i8", 3)
     at, out = 24, []
-    for kind, size in (("<u8", a), ("<u8", a), ("<i8", used), ("<i8", used), ("<u4", a + b), ("<i4", a + b), ("u1", a + b)):
+    for kind, size in (("<u8", a), ("<u8", a), ("<u8", a), ("<i8", used), ("<i8", used), ("<u4", used), ("<u4", used), ("<i4", a + b), ("u1", a + b), ("u1", a)):
         out.append(np.frombuffer(data, kind, size, at))
         at += out[-1].nbytes
-    gram, stretch, doc, row, number, start, n = out
+    gram, stretch, second, doc, row, kept, gone, start, n, place = out
+    number = np.concatenate([np.repeat(np.arange(used), kept), np.repeat(np.arange(used), gone)])
     every = doc[number], row[number], start, n
-    return (gram, stretch, *(v[:a] for v in every)), tuple(v[a:] for v in every)
+    return (gram, stretch, second, *(v[:a] for v in every), place), tuple(v[a:] for v in every)
 
 
 def _dealt(buckets: int):
     """Documents (doc, row, data) to packed anchors by bucket; repeats within a part of a batch are marked at once."""
 
     def packed(found: list[tuple], doc: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
-        own, start, n, gram, stretch = (np.concatenate(c) for c in zip(*found))
-        _, first = np.unique(gram * np.uint64(0x94D049BB133111EB) ^ stretch, return_index=True)
-        keep = np.zeros(len(own), bool)
-        keep[first] = True
-        bucket = ((gram >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        own, start, n, gram, stretch, second, place = (np.concatenate(c) for c in zip(*found))
+        turn = np.lexsort((second, stretch, gram))  # stable: the first of equal stretches comes first
+        keep = np.ones(len(own), bool)
+        keep[turn[1:]] = (gram[turn][1:] != gram[turn][:-1]) | (stretch[turn][1:] != stretch[turn][:-1]) | (second[turn][1:] != second[turn][:-1])
+        # Repeats are decided and go wherever there is room, by their text, not to the bucket of a gram that may be hot.
+        bucket = np.where(keep, (gram >> np.uint64(32)) % np.uint64(buckets), row[own].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
         turn = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[turn], np.arange(buckets + 1))
         out = []
@@ -119,7 +131,7 @@ def _dealt(buckets: int):
             at = turn[cuts[b] : cuts[b + 1]]
             if len(at):
                 k, g = at[keep[at]], at[~keep[at]]
-                out.append((b, _pack(b, tuple(v[k] for v in (own, start, n, gram, stretch)), tuple(v[g] for v in (own, start, n)), doc, row)))
+                out.append((b, _pack(tuple(v[k] for v in (own, start, n, gram, stretch, second, place)), tuple(v[g] for v in (own, start, n)), doc, row)))
         return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,14 +161,23 @@ def _dealt(buckets: int):
     return run
 
 
-def _ranges(doc, row, start, n, gram) -> pa.Table:
+def _ranges(doc, row, start, n, gram, at=None) -> pa.Table:
     kinds = (np.int64, np.int64, np.int32, np.int32)
     columns = [pa.array(np.ascontiguousarray(v, t)) for v, t in zip((doc, row, start, n), kinds)]
-    return pa.table([*columns, pa.array(gram, pa.int64()) if gram is not None else pa.nulls(len(doc), pa.int64())], names=["doc", "row", "start", "n", "gram"])
+    columns += [pa.array(gram, pa.int64()) if gram is not None else pa.nulls(len(doc), pa.int64()), at if at is not None else pa.nulls(len(doc), pa.int32())]
+    return pa.table(columns, names=["doc", "row", "start", "n", "gram", "at"])
+
+
+def _matched(hot: int):
+    def run(group: pa.Table) -> pa.Table:
+        return _of_bucket(hot, group)
+
+    return run
 
 
-def _matched(group: pa.Table) -> pa.Table:
-    """Of one bucket: repeats (gram null), and the stretches whose bytes are wanted (gram set)."""
+def _of_bucket(hot: int, group: pa.Table) -> pa.Table:
+    """Of one bucket: repeats (gram null), and the stretches whose bytes are wanted (gram set; at set, too, where the gram stands
+    in more than `hot` stretches)."""
     give_back()
     packed = [x.as_buffer() for x in group.column("packed").combine_chunks()]
     grams = np.concatenate([_unpack(x)[0][0] for x in packed])
@@ -172,22 +193,38 @@ def _matched(group: pa.Table) -> pa.Table:
         mask = often[at : at + len(keep[0])]
         kept.append(tuple(v[mask] for v in keep))
         at += len(mask)
-    gram, stretch, doc, row, start, n = (np.concatenate(c) for c in zip(*kept))
+    gram, stretch, second, doc, row, start, n, place = (np.concatenate(c) for c in zip(*kept))
     if not len(gram):
         return pa.concat_tables(gone)
-    turn = np.lexsort((start, row, doc, stretch, gram))
-    gram, stretch, doc, row, start, n = (v[turn] for v in (gram, stretch, doc, row, start, n))
+    turn = np.lexsort((start, row, doc, second, stretch, gram))
+    gram, stretch, second, doc, row, start, n, place = (v[turn] for v in (gram, stretch, second, doc, row, start, n, place))
     new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
-    first = new_gram | np.concatenate([[True], stretch[1:] != stretch[:-1]])
+    first = new_gram | np.concatenate([[True], (stretch[1:] != stretch[:-1]) | (second[1:] != second[:-1])])
     head = np.flatnonzero(first)[np.cumsum(first) - 1]
     elsewhere = (doc != doc[head]) | (row != row[head]) | (start != start[head])  # else a row that repeats id and text
     gone.append(_ranges(*(v[elsewhere] for v in (doc, row, start, n)), None))
-    several = np.bincount(np.cumsum(new_gram)[first] - 1)[np.cumsum(new_gram) - 1] > 1
-    ask = first & several
-    gone.append(_ranges(*(v[ask] for v in (doc, row, start, n)), gram[ask].view(np.int64)))
+    stretches = np.bincount(np.cumsum(new_gram)[first] - 1)[np.cumsum(new_gram) - 1]
+    ask = first & (stretches > 1)
+    gone.append(_ranges(*(v[ask] for v in (doc, row, start, n)), gram[ask].view(np.int64), pa.array(place[ask].astype(np.int32), mask=stretches[ask] <= hot)))
     return pa.concat_tables(gone)
 
 
+def _wanted(asked: DataFrame, data: DataFrame, parts: int) -> DataFrame:
+    """(doc, row, start, n, bytes, part): the asked stretches with their bytes and SLACK more, dealt by gram.
+
+    A stretch of a hot gram comes in up to CLASSES pieces: a piece has the windows in which the gram stands from `low` to `high`,
+    and is dealt by the bytes that all such windows have around the gram, whatever their place: equal windows still meet."""
+    edges = [k * WINDOW // CLASSES for k in range(CLASSES + 1)]
+    piece = lambda low, high: F.expr(f"struct(greatest(start, start + at - {high}) as start, least(start + n - 1, start + at - {low}) as last, start + at - {low} as core, {LENGTH + low - high} as core_n)")
+    pieces = F.filter(F.array(*[piece(low, high - 1) for low, high in zip(edges, edges[1:])]), lambda p: p["start"] <= p["last"])
+    whole = F.array(F.expr("struct(start, start + n - 1 as last, start as core, 0 as core_n)"))
+    cut = asked.withColumn("p", F.explode(F.when(F.col("at").isNull(), whole).otherwise(pieces))).select("doc", "row", "gram", "p.*")
+    text = data.join(cut, ["doc", "row"])
+    key = F.xxhash64("gram", F.expr("core_n"), F.expr("substring(data, core + 1, core_n)"))
+    stretch = F.expr(f"substring(data, start + 1, last - start + {LENGTH + SLACK})")
+    return text.select("doc", "row", "start", F.expr("last - start + 1").cast("int").alias("n"), stretch.alias("bytes"), F.pmod(key, F.lit(parts)).alias("part"))
+
+
 def _keys(symbols: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
     """The first `depth` symbols of each suffix as fixed-size strings that compare like the suffixes; what follows an end is 0."""
     wide = symbols.max() > 255
@@ -334,7 +371,7 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"), *[F.col(c).alias(f"_{c}") for c in carry])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, hot: int = HOT_GRAM, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """One row per row of `docs`: doc, row, n_bytes, n_removed, n_spans, kept (the remaining bytes),
     and the columns named by `carry` with an underscore before their names. With `as_text`, kept is a string; what is left of a
     character that a cut went through is dropped.
@@ -347,18 +384,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(8, math.ceil(total / bucket_bytes))
     packed = marked.mapInArrow(_dealt(buckets), "bucket int, packed binary")
-    matched = packed.groupBy("bucket").applyInArrow(_matched, RANGES)
-    asked = matched.where("gram is not null")
-    places = marked.join(asked, ["doc", "row"])
-    stretches = places.select("doc", "row", "start", "n", F.expr(f"substring(data, start + 1, n + {LENGTH - 1 + SLACK})").alias("bytes"), F.pmod(F.xxhash64("gram"), F.lit(buckets * PARTS)).alias("part"))
-    repeats = stretches.groupBy("part").applyInArrow(_sorted_repeats, RANGES)
+    matched = materialize(packed.groupBy("bucket").applyInArrow(_matched(hot), RANGES))
+    repeats = _wanted(matched.where("gram is not null"), marked, buckets * PARTS).groupBy("part").applyInArrow(_sorted_repeats, RANGES)
     ranges = matched.where("gram is null").unionByName(repeats).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     joined = identified(docs, id_col, text_col, carry).join(ranges, ["doc", "row"], "left")
     schema = joined.drop("data", "ranges").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "string" if as_text else "binary")
     return joined.mapInArrow(_cut(as_text), schema)
 
 
-def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str, hot: int = HOT_GRAM) -> DataFrame:
     """All documents, strings of 100 bytes."""
-    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), hot=hot)
     return found.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
