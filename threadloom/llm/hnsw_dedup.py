@@ -1,7 +1,7 @@
 """Embedding near-dedup with hierarchical navigable small-world graphs.
 
 Equal vectors of a label are one class. The classes of a label are dealt by hash into shards of bounded size; each shard builds
-a graph, and every class queries every shard of its label, in blocks. A query walks down the layers, searches the base layer with
+a graph, and every class queries every shard of its label, in blocks that stream past the graph. A query walks down the layers, searches the base layer with
 a beam, then keeps expanding whatever is within reach of the threshold. Beams widen until audited queries find all that brute
 force finds in the shard; queries are audited until enough of them had links, so where links are sparse all are. Found pairs are verified by cosine in double precision, counted, and united into components."""
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ LINKS, BASE_LINKS, BUILD_BEAM, BEAM, AUDITED = 12, 24, 32, 32, 256
 #: How far below the threshold a node may be and still be expanded, at first.
 SLACK = 0.03
 _WIDE = 4
+#: Blocks of queries for which a graph travels once.
+LANE_BLOCKS = 64
 
 
 class Graph:
@@ -245,49 +248,104 @@ def _audit(x: np.ndarray, unit: np.ndarray, own: np.ndarray | None, threshold: f
     return turn[:done], np.concatenate(found_q), np.concatenate(found_i)
 
 
-def _found(threshold: float, audited: int = AUDITED):
-    def run(queries: pa.Table, graphs: pa.Table) -> pa.Table:
+ANSWER = "a long, b long, n long, audited long, true_links long, found_links long, beam int"
+
+
+def _answer(queries: pa.Table, loaded: tuple, threshold: float, audited: int = AUDITED) -> pa.RecordBatch:
+    """One block of queries against one shard: a row (a, n) per query with its number of links, rows (a, b) for a forest of the
+    links, and a row without a or b that says what the audit saw at first: queries asked, their links, those that were found."""
+    graph, unit, ids, copies = loaded
+    mine, x = queries.column("class_id").to_numpy(), _unit(queries.column("vec"))
+    turn = np.argsort(ids)
+    own = turn[np.minimum(np.searchsorted(ids, mine, sorter=turn), len(ids) - 1)]
+    own = own if (ids[own] == mine).all() else None
+    audit, true_q, true_i = _audit(x, unit, own, threshold, audited)
+    truth = true_q * len(ids) + true_i
+    beam, slack, first = BEAM, SLACK, None
+    while True:
+        q, i = graph.within(x, own, beam, threshold - slack)
+        pairs = q * len(ids) + i
+        if own is not None:  # within a shard, a link found from either end counts for both
+            back = np.full(len(ids), -1)
+            back[own] = np.arange(len(mine))
+            pairs = np.concatenate([pairs, back[i] * len(ids) + own[q]])
+        pairs = np.unique(pairs)
+        q, i = pairs // len(ids), pairs % len(ids)
+        cosine = np.concatenate([np.einsum("ij,ij->i", x[q[k : k + 65536]], unit[i[k : k + 65536]]) for k in range(0, len(q), 65536)] or [np.zeros(0)])
+        q, i, pairs = q[cosine >= threshold], i[cosine >= threshold], pairs[cosine >= threshold]
+        there = np.isin(truth, pairs)
+        first = int(there.sum()) if first is None else first
+        if there.all():
+            break
+        if beam >= len(ids):  # no beam is wider: every query is asked by brute force
+            found = [np.nonzero(x[k : k + 256] @ unit.T >= threshold) for k in range(0, len(x), 256)]
+            q, i = np.concatenate([f[0] + 256 * k for k, f in enumerate(found)]), np.concatenate([f[1] for f in found])
+            break
+        beam, slack = 2 * beam, 2 * slack
+    other = ids[i] != mine[q]
+    q, i = q[other], i[other]
+    n = np.bincount(q, weights=copies[i], minlength=len(mine)).astype(np.int64)
+    a, b = np.minimum(mine[q], ids[i]), np.maximum(mine[q], ids[i])
+    pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    edges = _forest(pairs[:, 0], pairs[:, 1], {})
+    rows = len(mine) + len(edges)
+    told = lambda v, kind: pa.array([None] * rows + [v], kind)
+    columns = [pa.array([*mine.tolist(), *(e[0] for e in edges), None], pa.int64()), pa.array([None] * len(mine) + [e[1] for e in edges] + [None], pa.int64()), pa.array([*n.tolist(), *[0] * (len(edges) + 1)], pa.int64())]
+    columns += [told(v, k) for v, k in ((len(audit), pa.int64()), (len(truth), pa.int64()), (first, pa.int64()), (beam, pa.int32()))]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ANSWER.split(", ")])
+
+
+def _searched(threshold: float, audited: int):
+    """Rows in order of shard and block: a shard's graph comes first and is held, then its queries, one block after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        names = ["a", "b", "n"]
-        if not queries.num_rows or not graphs.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3, names=names)
-        graph, unit, ids, copies = pickle.loads(graphs.column("graph")[0].as_buffer())
-        mine, x = queries.column("class_id").to_numpy(), _unit(queries.column("vec"))
-        turn = np.argsort(ids)
-        own = turn[np.minimum(np.searchsorted(ids, mine, sorter=turn), len(ids) - 1)]
-        own = own if (ids[own] == mine).all() else None
-        audit, true_q, true_i = _audit(x, unit, own, threshold, audited)
-        truth = np.bincount(true_q, minlength=len(mine))[audit]
-        beam, slack = BEAM, SLACK
-        while True:
-            q, i = graph.within(x, own, beam, threshold - slack)
-            if own is not None:  # within a shard, a link found from either end counts for both
-                back = np.full(len(ids), -1)
-                back[own] = np.arange(len(mine))
-                pairs = np.unique(np.concatenate([q * len(ids) + i, back[i] * len(ids) + own[q]]))
-                q, i = pairs // len(ids), pairs % len(ids)
-            cosine = np.concatenate([np.einsum("ij,ij->i", x[q[k : k + 65536]], unit[i[k : k + 65536]]) for k in range(0, len(q), 65536)] or [np.zeros(0)])
-            q, i = q[cosine >= threshold], i[cosine >= threshold]
-            got = np.zeros(len(mine), int)
-            np.add.at(got, q, 1)
-            if (got[audit] >= truth).all():
-                break
-            if beam >= len(ids):  # what no beam reaches, but the audit saw
-                pairs = np.unique(np.concatenate([q * len(ids) + i, true_q * len(ids) + true_i]))
-                q, i = pairs // len(ids), pairs % len(ids)
-                break
-            beam, slack = 2 * beam, 2 * slack
-        other = ids[i] != mine[q]
-        q, i = q[other], i[other]
-        n = np.bincount(q, weights=copies[i], minlength=len(mine)).astype(np.int64)
-        a, b = np.minimum(mine[q], ids[i]), np.maximum(mine[q], ids[i])
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        edges = _forest(pairs[:, 0], pairs[:, 1], {})
-        return pa.table([pa.array(np.concatenate([mine, np.asarray([e[0] for e in edges], np.int64)])), pa.array([None] * len(mine) + [e[1] for e in edges], pa.int64()), pa.array(np.concatenate([n, np.zeros(len(edges), np.int64)]))], names=names)
+        loaded, held, at = None, [], None
+        for batch in batches:
+            runs, blocks = batch.column("run").to_numpy(), batch.column("block").to_numpy()
+            cuts = np.flatnonzero((runs[1:] != runs[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(runs)]):
+                if low == high:
+                    continue
+                if (runs[low], blocks[low]) != at:
+                    if held:
+                        yield _answer(pa.Table.from_batches(held), loaded, threshold, audited)
+                    held, at = [], (runs[low], blocks[low])
+                if blocks[low] < 0:
+                    loaded = pickle.loads(batch.column("graph")[low].as_buffer())
+                else:
+                    held.append(batch.slice(low, high - low).select(["class_id", "vec"]))
+        if held:
+            yield _answer(pa.Table.from_batches(held), loaded, threshold, audited)
 
     return run
 
 
+def searched(classes: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, audited: int = AUDITED) -> DataFrame:
+    """What every block of classes found in every shard of its label, as ANSWER says. classes: label, dims, class_id, copies, vec.
+
+    A shard's graph travels once for every LANE_BLOCKS blocks that ask it; the blocks are streamed past it."""
+    kind = dict(classes.dtypes)["label"]
+    counts = classes.groupBy("label", "dims").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
+    dealt = classes.join(counts, ["label", "dims"]).withColumn("shard", F.pmod(F.xxhash64("class_id", F.lit(7)), "shards").cast("int"))
+    graphs = dealt.select("label", "dims", "shard", "shards", "class_id", "copies", "vec").groupBy("label", "dims", "shard").applyInArrow(_built, f"label {kind}, dims int, shard int, shards int, graph binary")
+    lanes = F.explode(F.sequence(F.lit(0), F.floor((F.col("shards") - 1) / LANE_BLOCKS).cast("int")))
+    lane = F.floor(F.col("block") / LANE_BLOCKS).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    none = lambda t: F.lit(None).cast(t)
+    right = graphs.select("label", "dims", "shard", lanes.alias("lane"), F.lit(-1).alias("block"), none("long").alias("class_id"), none("array<double>").alias("vec"), "graph")
+    left = dealt.select("label", "dims", F.col("shard").alias("block"), "class_id", "vec", every.alias("shard")).select("label", "dims", "shard", lane.alias("lane"), "block", "class_id", "vec", none("binary").alias("graph"))
+    keys = ["label", "dims", "shard", "lane"]
+    rows = right.unionByName(left).repartition(*keys).sortWithinPartitions(*keys, "block")
+    return rows.select(F.xxhash64(*keys).alias("run"), "block", "class_id", "vec", "graph").mapInArrow(_searched(threshold, audited), ANSWER)
+
+
+def recall(found: DataFrame) -> DataFrame:
+    """One row: blocks searched, queries audited, their links, how many of these the first beam had found, the widest beam."""
+    told = found.where("a is null and b is null")
+    return told.agg(F.count(F.lit(1)).alias("groups"), F.sum("audited").alias("audited"), F.sum("true_links").alias("true_links"), F.sum("found_links").alias("found_links"), F.max("beam").alias("widest_beam"))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", audited: int = AUDITED) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
@@ -303,15 +361,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows
     classes = usable.groupBy("label", "vec").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     # A class is named by a hash of its content, which stays the same when a task runs again; ids may be null or repeat.
     classes = materialize(classes.withColumn("class_id", F.xxhash64("label", "vec")).withColumn("dims", F.size("vec")))
-    counts = classes.groupBy("label", "dims").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
-    dealt = classes.join(counts, ["label", "dims"]).withColumn("shard", F.pmod(F.xxhash64("class_id", F.lit(7)), "shards").cast("int"))
-    graphs = dealt.select("label", "dims", "shard", "shards", "class_id", "copies", "vec").groupBy("label", "dims", "shard").applyInArrow(_built, f"label {dict(base.dtypes)['label']}, dims int, shard int, shards int, graph binary")
-    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    left = dealt.select("label", "dims", F.col("shard").alias("block"), "class_id", "vec", every.alias("shard"))
-    right = graphs.select("label", "dims", "shard", "graph", every.alias("block"))
-    keys = ["label", "dims", "shard", "block"]
-    found = materialize(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_found(threshold, audited), "a long, b long, n long"))
-    linked = found.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
+    found = materialize(searched(classes, threshold, shard_rows, audited))
+    linked = found.where("a is not null and b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
     parts = connected_components(found.where("b is not null").select("a", "b"))
     named = classes.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id")).join(linked, "class_id")
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
