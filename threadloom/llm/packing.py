@@ -9,6 +9,7 @@ among the pieces of its length, which is a distributed prefix sum."""
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
 from collections import defaultdict
@@ -27,21 +28,18 @@ END_ID = 0
 LARGE_PART, GROUPS = 8, 24
 #: Configurations filled to within so many tokens are kept as they are.
 TIGHT = 16
-RANK_SALTS = 64
+#: Pieces of one length that are ranked in one task, on average, when all pieces have that length.
+RANK_ROWS = 1 << 16
 CACHE_WORDS = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-# The pre-tokenizer's pattern and the word end of the vocabulary file.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WORD_END = "</w>"
-
-
 class WordEncoder:
     """Token ids of white-space separated chunks, the same as the tokenizer file's own, kept for words seen before.
 
-    Lower-casing, pattern and merges never look across white space, so ids of a text are those of its chunks in turn. Chunks
+    Where lower-casing, pattern and merges never look across white space, ids of a text are those of its chunks in turn. Chunks
     of Latin letters go through a rank table built from the same vocabulary, in which the marker byte 2 stands for the word
-    end; any other chunk goes to the tokenizer itself."""
+    end; any other chunk goes to the tokenizer itself. Pattern and word end are read from the file; a file that is not built
+    this way is left to the tokenizer, whole texts at a time."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -49,19 +47,23 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.slow = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        pattern, end = _word_rules(path)
+        self.by_chunk = pattern is not None
+        if not self.by_chunk:
+            return
         byte_of = {c: b for b, c in _printable_bytes().items()}
         ranks = {}
         self.ends_word = np.zeros(self.slow.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.slow.get_vocab(with_added_tokens=False).items():
-            ended = token.endswith(WORD_END)
-            body = token.removesuffix(WORD_END)
+            ended = token.endswith(end)
+            body = token.removesuffix(end)
             if all(c in byte_of for c in body):
                 ranks[bytes(byte_of[c] for c in body) + b"\x02" * ended] = i
                 self.ends_word[i] = ended
         self.fast = tiktoken.Encoding("words", pat_str="[^\x02]+\x02", mergeable_ranks=ranks, special_tokens={})
-        self.pattern = regex.compile(WORD_PATTERN)
+        self.pattern = regex.compile(pattern)
         self.plain = regex.compile(r"[\x21-\x7E¡-ɏ]+")
-        self.known: dict[bytes, bytes] = {}
 
     def learn(self, chunks: set[bytes]) -> None:
         if len(self.known) > CACHE_WORDS:
@@ -84,6 +86,8 @@ class WordEncoder:
 
     def encode(self, data: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text."""
+        if not self.by_chunk:
+            return np.asarray(self.slow.encode(data.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         out = []
         for part in spans_at_space(data):
             words = part.split()
@@ -97,6 +101,23 @@ class WordEncoder:
         return b"".join(out)
 
 
+def _word_rules(path: str) -> tuple[str | None, str]:
+    """(pattern, word end) of a tokenizer file that lower-cases, takes the words of a pattern that never holds white space, and
+    merges their bytes in order of the merged tokens' ids; (None, "") for any other."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, norms = told["model"], (told.get("normalizer") or {}).get("normalizers", [])
+    steps = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    usual = [n.get("type") for n in norms] == ["NFC", "Replace", "Lowercase"] and norms[1]["pattern"] == {"Regex": r"\s+"} and norms[1]["content"] == " "
+    usual = usual and [s.get("type") for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    usual = usual and model["type"] == "BPE" and bool(model["end_of_word_suffix"]) and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if not usual or regex.search(steps[0]["pattern"].get("Regex", " "), " \t\n\r\x0b\x0c"):
+        return None, ""
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [model["vocab"]["".join(p)] for p in pairs]
+    return (steps[0]["pattern"]["Regex"], model["end_of_word_suffix"]) if ids == sorted(ids) else (None, "")
+
+
 def _printable_bytes() -> dict[int, str]:
     """The usual byte alphabet of byte-level vocabularies: printable bytes stand for themselves, others from U+0100 on."""
     table, extra = {}, 256
@@ -312,9 +333,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Data
     """Give every piece its sequence_id and offset. `cut` has the columns of `pieces`.
 
     Ranks within a length are taken inside (length, salt) and added to the salts' prefix sums, so one very frequent length is
-    spread over RANK_SALTS tasks. An empty table gives no rows."""
+    spread over as many tasks as its rows fill at RANK_ROWS each. An empty table gives no rows."""
     cut = materialize(cut)
-    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_SALTS)).cast("int")
+    salts = max(64, -(-cut.count() // RANK_ROWS))
+    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
     salted = cut.withColumn("salt", spread)
     sums = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
