@@ -19,6 +19,10 @@ SECRET_RULES = [
     (r"eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", "***REDACTED_JWT***"),
 ]
 DROPPED = r"[\x{FEFF}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{E000}-\x{F8FF}]"
+# The three formats of a validator's messages that name what can be mended.
+UNKNOWN_FIELD = r'Unrecognized field "(\w+)"'
+MISSING_VALUE = r"([A-Za-z0-9_]+)\.([A-Za-z0-9_]+) 为必填项\(字段类型=([A-Z_]+)\)"
+INVALID_VALUE = r"([A-Za-z0-9_]+)\.([A-Za-z0-9_]+)=[^,，]+[,，]类型([A-Z_]+) 允许值=\[([^\]]*)\]"
 CJK_COMPLEMENT = r"[^\x{4e00}-\x{9fff}]"
 FENCE = r"(?s)```(?:json)?\s*(.*?)\s*```"
 

@@ -49,9 +49,9 @@ def messages(log: DataFrame, conversations: list[int] | None = None, kinds: list
     return log.select("conv_id", "seq", F.col("kind").alias("role"), "content")
 
 
-@query("replay_messages", "select conv_id, turn as seq, role, text as content from conversations where conv_id % 2 = 0")
+@query("replay_messages", "select conv_id, turn as seq, role, text as content from conversations")
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-01, C-02, G-02: the messages of every conversation; the SQL has those of even conv_id only."""
+    """A-01, C-02, G-02: the messages of every conversation."""
     return messages(event_log(spark, sf_dir))
 
 
@@ -109,7 +109,7 @@ def _calls(spark: SparkSession, sf_dir: str, *conditions: str) -> DataFrame:
     return found.orderBy(F.desc("created_at"), "id").limit(100).select("id", "conv_id", "call_type", "duration")
 
 
-for _name, _conditions in {"none": (), "conv": ("conv_id = 7",), "type": ("call_type = 'error'",), "both": ("conv_id % 10 = 7", "call_type = 'error'")}.items():
+for _name, _conditions in {"none": (), "conv": ("conv_id = 7",), "type": ("call_type = 'error'",), "both": ("conv_id = 7", "call_type = 'error'")}.items():
     _where = f"where {' and '.join(_conditions)}" if _conditions else ""
     query(f"call_logs_filtered_{_name}", f"with {CALLS_SQL} select id, conv_id, call_type, duration from calls {_where} order by created_at desc, id limit 100")(lambda s, d, c=_conditions: _calls(s, d, *c))
 

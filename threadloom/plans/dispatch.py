@@ -8,16 +8,20 @@ from ..functions import text as T
 from ..sources.tables import CALLS_SQL, call_logs, event_log, session_meta, table
 from .base import query
 
-ALLOWED_PREFIXES, DENIED = ("x-", "auth"), ("x-secret", "cookie")
+# Headers that are passed on begin so, unless they are one of these.
+ALLOWED_PREFIXES = ("x-", "authorization", "cookie", "tenant", "enterprise", "accept-language")
+DENIED = ("host", "content-length", "content-type", "connection", "x-user-id", "x-accel-buffering")
 
 
-@query("header_forwarding", "select event_id, case when event_type in ('click', 'view') then 2 else 1 end::int as forwarded from events")
+@query("header_forwarding", "select event_id, array_to_string(list_sort(list_filter(['Authorization', 'HOST', case when event_type in ('click', 'view') then 'X-Kind' else 'Cookie' end, case when event_id % 2 = 0 then 'X-User-Id' else 'Enterprise-Id' end, 'X-ACCEL-Buffering', 'Accept'], lambda h: h in ('Authorization', 'X-Kind', 'Cookie', 'Enterprise-Id'))), ',') as forwarded from events")
 def header_forwarding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C-06, I-16: headers with an allowed prefix that are not denied, whatever their case."""
+    """C-06, I-16: the headers with an allowed prefix that are not denied, whatever their case; names are kept as they are."""
     kind = F.when(F.col("event_type").isin("click", "view"), "X-Kind").otherwise("Cookie")
-    headers = F.create_map(F.lit("Authorization"), F.lit("a"), kind, F.lit("b"), F.lit("X-Secret"), F.lit("c"))
+    other = F.when(F.col("event_id") % 2 == 0, "X-User-Id").otherwise("Enterprise-Id")
+    names = [F.lit("Authorization"), F.lit("HOST"), kind, other, F.lit("X-ACCEL-Buffering"), F.lit("Accept")]
+    headers = F.map_from_arrays(F.array(*names), F.array(*[F.lit(str(k)) for k in range(len(names))]))
     kept = F.map_filter(headers, lambda k, v: F.exists(F.array(*map(F.lit, ALLOWED_PREFIXES)), lambda p: F.startswith(F.lower(k), p)) & ~F.lower(k).isin(*DENIED))
-    return table(spark, sf_dir, "events").select("event_id", F.size(kept).alias("forwarded"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("forwarded"))
 
 
 @query("whitelist_intersection", "select o_orderkey as id, case when o_orderkey % 4 = 3 then null else array_to_string(case o_orderkey % 4 when 0 then ['b', 'c'] when 1 then ['a', 'b', 'c'] else ['b', 'c', 'd'] end, ',') end as allowed from orders")

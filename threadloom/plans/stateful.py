@@ -56,7 +56,7 @@ def breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("ttl_cache_replay", f"""with recursive {_RN.format(k='conv_id, call_type')}, s as (
-  select conv_id, call_type, rn, at as written, 0 as hit from c where rn = 1
+  select conv_id, call_type, rn, c.at as written, 0 as hit from c where rn = 1
   union all select c.conv_id, c.call_type, c.rn, case when c.at - s.written < {TTL_MS} then s.written else c.at end, (c.at - s.written < {TTL_MS})::int
   from s join c on c.conv_id = s.conv_id and c.call_type = s.call_type and c.rn = s.rn + 1)
 select conv_id, call_type, count(*) as lookups, sum(hit)::bigint as hits from s group by 1, 2""")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
+from ..operators.replays import frame_step, replayed, unfinished
 from ..sources.tables import event_log, table
 from .base import query
 from .conversations import tokens_sql
 
-#: A text with a secret of each kind before it. The SQL that was dealt ends the text after 80 (here) and 40 characters (below).
-_SECRETS = "concat('Authorization: Bearer ', md5(text), ' key=sk-', substr(md5(text), 1, 12), ' Cookie: sid=', md5(source), '; x-api-key: ', md5(lang), ' eyJ', md5(text), '.eyJ', md5(lang), '.', md5(source), ' ', substr(text, 1, 80))"
+#: A whole text with a secret of each kind before it.
+_SECRETS = "concat('Authorization: Bearer ', md5(text), ' key=sk-', substr(md5(text), 1, 12), ' Cookie: sid=', md5(source), '; x-api-key: ', md5(lang), ' eyJ', md5(text), '.eyJ', md5(lang), '.', md5(source), ' ', text)"
 
 
 def _redact_sql(text: str) -> str:
@@ -41,17 +42,16 @@ def should_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("redact_secrets", f"select doc_id, {_redact_sql(_SECRETS)} as redacted from documents")
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I-05, over whole texts; the SQL ends them after 80 characters."""
-    whole = F.expr(_SECRETS.replace("substr(text, 1, 80)", "text"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.redact(whole).alias("redacted"))
+    """I-05."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.redact(F.expr(_SECRETS)).alias("redacted"))
 
 
-_ODD_SQL = "substr(text, 1, 40) || chr(8203) || 'x' || chr(8238) || chr(65279) || chr(57344) || 'y' || chr(8288)"
+_ODD_SQL = "text || chr(8203) || 'x' || chr(8238) || chr(65279) || chr(57344) || 'y' || chr(8288)"
 
 
 @query("sanitize_ranges", f"select doc_id, regexp_replace({_ODD_SQL}, '{T.DROPPED}', '', 'g') as clean from documents")
 def sanitize_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I-03, the native part, over whole texts; the SQL ends them after 40 characters."""
+    """I-03, the native part."""
     odd = F.concat(F.col("text"), F.lit("​x‮﻿y⁠"))
     return table(spark, sf_dir, "documents").select("doc_id", T.drop_invisible(odd).alias("clean"))
 
@@ -85,34 +85,68 @@ def sse_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.sse_frame(F.col("event_type"), F.col("props")).alias("frame"))
 
 
-@query("sse_parse", "select user_id, event_type as event, count(*) as frames, sum(cast(json_extract(props, '$.k') as bigint))::bigint as total from events group by 1, 2")
+#: Each frame comes in two chunks, cut within its first line; every 11th has no JSON; the last frame of users with an even id lacks
+#: its end.
+_CHUNKS_SQL = "f as (select *, event_id % 11 <> 0 as good, user_id % 2 = 0 and event_id = max(event_id) over (partition by user_id) as torn from events)"
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = F.max("event_id").over(Window.partitionBy("user_id"))
+    events = table(spark, sf_dir, "events").withColumn("torn", (F.col("user_id") % 2 == 0) & (F.col("event_id") == last))
+    data = F.when(F.col("event_id") % 11 == 0, "{not json").otherwise(F.col("props"))
+    frame = T.sse_frame(F.col("event_type"), data)
+    whole = F.when(F.col("torn"), F.regexp_replace(frame, r"\n\n$", "\n")).otherwise(frame)
+    parts = F.posexplode(F.array(F.substring("frame", 1, 9), F.expr("substring(frame, 10)"))).alias("part", "text")
+    return events.select("user_id", "event_id", whole.alias("frame")).select("user_id", "event_id", parts)
+
+
+@query("sse_parse", f"with {_CHUNKS_SQL} select user_id, event_type as event, count(*) as frames, sum(case when good then cast(json_extract(props, '$.k') as bigint) end)::bigint as total, sum((not good)::int)::bigint as broken from f where not torn group by 1, 2")
 def sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-18, A-19, K-07: frames of a byte stream, split at blank lines and taken apart; what is not JSON counts as {}."""
-    framed = sse_format(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
-    frames = framed.select("user_id", F.explode(F.split("frame", "\n\n")).alias("frame")).where("frame <> ''")
-    data = F.coalesce(F.try_parse_json(T.sse_field(F.col("frame"), "data")), F.parse_json(F.lit("{}")))
-    return frames.groupBy("user_id", T.sse_field(F.col("frame"), "event").alias("event")).agg(F.count(F.lit(1)).alias("frames"), F.sum(F.try_variant_get(data, "$.k", "bigint")).alias("total"))
+    """A-18, A-19, K-07: the frames of each user's stream of chunks, put together over the chunks' ends and taken apart; what is
+    not JSON counts as {}, and a frame that never ends is not told."""
+    found = replayed(_chunks(spark, sf_dir), ["user_id"], ["event_id", "part"], ["text"], frame_step, "frame string, whole boolean", unfinished)
+    frames = found.where("whole").select("user_id", T.sse_field(F.col("frame"), "event").alias("event"), F.try_parse_json(T.sse_field(F.col("frame"), "data")).alias("data"))
+    data = F.coalesce("data", F.parse_json(F.lit("{}")))
+    return frames.groupBy("user_id", "event").agg(F.count(F.lit(1)).alias("frames"), F.sum(F.try_variant_get(data, "$.k", "bigint")).alias("total"), F.count_if(F.col("data").isNull()).alias("broken"))
 
 
-_ERRORS_SQL = """errors as (select event_id, user_id, case event_id % 3 when 0 then 'Unrecognized field "f' || user_id || '" (class X)' when 1 then 'Field k' || user_id || ' lacks required property p' || (event_id % 5) else 'Value of k' || user_id || ' must be one of [1, 2,3]' end as message from events)"""
+_ERRORS_SQL = """errors as (select event_id, user_id, case event_id % 3 when 0 then 'Unrecognized field "f' || user_id || '" (class X)' when 1 then 'D: k' || user_id || '.p' || (event_id % 5) || ' 为必填项(字段类型=USER)' else 'D: k' || user_id || '.p=0 不合法,类型SEGMENT 允许值=[1, 2,' || (event_id % 5) || ']' end as message from events)"""
 
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validation messages of the three formats."""
-    user = F.col("user_id").cast("string")
+    """Validation messages of the three formats that name what can be mended."""
+    user, fifth = F.col("user_id").cast("string"), (F.col("event_id") % 5).cast("string")
     kind = F.col("event_id") % 3
-    message = F.when(kind == 0, F.concat(F.lit('Unrecognized field "f'), user, F.lit('" (class X)'))).when(kind == 1, F.concat(F.lit("Field k"), user, F.lit(" lacks required property p"), (F.col("event_id") % 5).cast("string"))).otherwise(F.concat(F.lit("Value of k"), user, F.lit(" must be one of [1, 2,3]")))
+    message = F.when(kind == 0, F.concat(F.lit('Unrecognized field "f'), user, F.lit('" (class X)'))).when(kind == 1, F.concat(F.lit("D: k"), user, F.lit(".p"), fifth, F.lit(" 为必填项(字段类型=USER)"))).otherwise(F.concat(F.lit("D: k"), user, F.lit(".p=0 不合法,类型SEGMENT 允许值=[1, 2,"), fifth, F.lit("]")))
     return table(spark, sf_dir, "events").select("event_id", "user_id", message.alias("message"))
 
 
-@query("error_parse", f"""with {_ERRORS_SQL} select event_id, nullif(regexp_extract(message, 'Unrecognized field "(\\w+)"', 1), '') as unknown_field, nullif(regexp_extract(message, 'Field (\\w+) lacks required property (\\w+)', 2), '') as missing_property,
-  case when message like '%must be one of%' then 3 end::int as n_allowed from errors""")
+@query("error_parse", f"""with {_ERRORS_SQL} select event_id, case event_id % 3 when 0 then 'f' || user_id end as unknown_field, case when event_id % 3 <> 0 then 'k' || user_id end as field_key,
+  case event_id % 3 when 1 then 'p' || (event_id % 5) when 2 then 'p' end as prop, case event_id % 3 when 1 then 'USER' when 2 then 'SEGMENT' end as type_name, case when event_id % 3 = 2 then '1|2|' || (event_id % 5) end as allowed from errors""")
 def error_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I-19, I-20, I-21."""
+    """I-19, I-20, I-21: the unknown field, or field, property, type and allowed values of what is missing or not allowed."""
     m = F.col("message")
     part = lambda p, k: F.nullif(F.regexp_extract(m, p, k), F.lit(""))
-    allowed = T.csv_list(part(r"must be one of \[([^\]]*)\]", 1))
-    return errors(spark, sf_dir).select("event_id", part(r'Unrecognized field "(\w+)"', 1).alias("unknown_field"), part(r"Field (\w+) lacks required property (\w+)", 2).alias("missing_property"), F.when(m.contains("must be one of"), F.size(allowed)).alias("n_allowed"))
+    either = lambda k: F.coalesce(part(T.MISSING_VALUE, k), part(T.INVALID_VALUE, k))
+    allowed = F.array_join(T.csv_list(part(T.INVALID_VALUE, 4)), "|")
+    return errors(spark, sf_dir).select("event_id", part(T.UNKNOWN_FIELD, 1).alias("unknown_field"), either(1).alias("field_key"), either(2).alias("prop"), either(3).alias("type_name"), allowed.alias("allowed"))
+
+
+_RAW_SQL = "raw as (select event_id, event_id % 4 as kind, 'E' || event_id as said from events)"
+
+
+@query("error_normalise", f"""with {_RAW_SQL} select event_id, case kind when 3 then '' else said end as message, case kind when 0 then '[{{"message":"' || said || '"}}]' when 1 then '[{{"message":"' || said || '"}},{{"code":7,"message":"b"}}]' when 2 then '[{{"message":"' || said || '"}}]' else '[]' end as errors from raw""")
+def error_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-22, I-23: errors come as texts or objects; each as a text to compare by, all as objects with a message."""
+    said = F.concat(F.lit("E"), F.col("event_id").cast("string"))
+    text, obj = F.to_json(F.struct(said.alias("e"))), F.to_json(F.struct(F.struct(said.alias("message")).alias("e")))
+    quoted = F.get_json_object(F.lit('{"e":{"code":7,"message":"b"}}'), "$.e")
+    kind = F.col("event_id") % 4
+    raw = F.when(kind == 0, F.array(F.struct(text.alias("x")))).when(kind == 1, F.array(F.struct(text.alias("x")), F.struct(F.concat(F.lit('{"e":'), quoted, F.lit("}")).alias("x")))).when(kind == 2, F.array(F.struct(obj.alias("x"))))
+    rows = table(spark, sf_dir, "events").select("event_id", F.coalesce(raw, F.array().cast("array<struct<x:string>>")).alias("raw"))
+    message = lambda x: F.coalesce(F.get_json_object(x["x"], "$.e.message"), F.get_json_object(x["x"], "$.e"))
+    whole = lambda x: F.when(F.get_json_object(x["x"], "$.e.message").isNotNull(), F.get_json_object(x["x"], "$.e")).otherwise(F.to_json(F.struct(message(x).alias("message"))))
+    return rows.select("event_id", F.coalesce(message(F.try_element_at("raw", F.lit(1))), F.lit("")).alias("message"), F.concat(F.lit("["), F.array_join(F.transform("raw", whole), ","), F.lit("]")).alias("errors"))
 
 
 @query("differential_errors", f"with {_ERRORS_SQL} select n.event_id, n.message from errors n where n.event_id % 2 = 0 and not exists (select 1 from errors b where b.event_id % 2 = 1 and b.user_id = n.user_id and b.message = n.message)")
