@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, dispatch, documents, stateful, texts, values  # noqa: F401  they register their queries
+from . import conversations, dispatch, documents, log_writes, open_docs, stateful, texts, values, views  # noqa: F401  they register their queries
 from .base import QUERIES, SQL, Query
 
 
