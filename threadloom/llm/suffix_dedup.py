@@ -29,7 +29,7 @@ from .common import bound_batches, give_back, materialize
 LENGTH, GRAM, SLACK = 100, 24, 16
 WINDOW = LENGTH - GRAM + 1
 #: Text bytes whose anchors share one group, text bytes hashed at a time, text bytes packed at a time.
-BUCKET_BYTES, GROUP_BYTES, PART_BYTES = 24 << 20, 1 << 19, 1 << 23
+BUCKET_BYTES, GROUP_BYTES, PART_BYTES = 12 << 20, 1 << 19, 1 << 23
 #: Groups of stretches that are sorted, for each bucket of anchors.
 PARTS = 4
 #: Grams in more different stretches are dealt by context; classes of windows by the place of the gram in them.
