@@ -55,8 +55,16 @@ def look_up(rows: DataFrame, found: DataFrame, key: str, count: str) -> DataFram
     return joined.select(*rows.columns, *[picked[c].alias(c) for c in values])
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, whatever kind of file system it is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
-    """Hold the Arrow batches in which whole texts go to Python to a size that does not depend on how long the texts are."""
+    """Hold the Arrow batches in which whole texts go to Python to a size that does not depend on how long the texts are.
+
+    These are settings of the session, and they stay: a frame that is returned lazily is only planned when its reader asks."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
