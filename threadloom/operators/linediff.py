@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Tables of more cells are not filled: all old lines go, all new lines come.
@@ -49,7 +48,3 @@ def line_diff(old: Column, new: Column) -> Column:
 
 def count_lines(diff: Column, kind: str) -> Column:
     return F.size(F.filter(diff, lambda d: d["type"] == kind))
-
-
-def as_frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["type", "old_no", "new_no", "text"])

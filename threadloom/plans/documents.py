@@ -17,10 +17,19 @@ def base_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_of_each_key(form_fields(spark, sf_dir))
 
 
-def new_version(base: DataFrame) -> DataFrame:
-    """The second version of each form: type 4 removed, type 7 under another key, required fields one wider."""
+def both_versions(base: DataFrame) -> DataFrame:
+    """form_id, field_key, old, new, flag, in_old, in_new: the widths of each field in the two versions, aligned by key. In the
+    second version of a form, type 4 is removed, type 7 is under another key, and required fields are one wider.
+
+    Every field is dealt once, as a row of the old and one of the new version; grouping by key within a form needs no exchange
+    beyond that of the form. flag is that of the new version."""
     key = F.when(F.col("type_code") == 7, F.col("field_key") + 1000000).otherwise(F.col("field_key"))
-    return base.where("type_code <> 4").select("form_id", "pos", key.alias("field_key"), "type_code", "required", F.when(F.col("required"), F.col("width") + 1).otherwise(F.col("width")).alias("width"), "flag")
+    width = F.when(F.col("required"), F.col("width") + 1).otherwise(F.col("width"))
+    side = lambda k, w, new: F.struct(k.alias("field_key"), w.alias("width"), F.lit(new).alias("is_new"))
+    sides = F.when(F.col("type_code") != 4, F.array(side(F.col("field_key"), F.col("width"), False), side(key, width, True))).otherwise(F.array(side(F.col("field_key"), F.col("width"), False)))
+    rows = base.select("form_id", "flag", F.explode(sides).alias("s")).select("form_id", "flag", "s.*")
+    of = lambda c, new: F.max(F.when(F.col("is_new") == new, F.col(c)))
+    return rows.groupBy("form_id", "field_key").agg(of("width", False).alias("old"), of("width", True).alias("new"), of("flag", True).alias("flag"), F.bool_or(~F.col("is_new")).alias("in_old"), F.bool_or("is_new").alias("in_new"))
 
 
 @query("field_catalog", f"with {FIELDS_SQL} select form_id, string_agg('#' || pos || ' ' || field_key || ' | ' || type_code || ' | ' || case when required then 'required' else 'optional' end, chr(10) order by pos) as catalog from fields group by form_id")
@@ -68,9 +77,10 @@ def apply_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("apply_add_field", f"with {BASE_SQL}, a as (select form_id, -form_id as field_key, min(pos) as after from base where required group by form_id) select form_id, field_key, row_number() over (partition by form_id order by spot) as pos from (select form_id, field_key, pos::double as spot from base union all select form_id, field_key, after + 0.5 from a)")
 def apply_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-10: one new field after the first required one; positions are dealt anew."""
-    base = base_fields(spark, sf_dir)
-    added = base.where("required").groupBy("form_id").agg((F.min("pos") + 0.5).alias("at")).select("form_id", (-F.col("form_id")).alias("field_key"), "at")
-    every = base.select("form_id", "field_key", F.col("pos").cast("double").alias("at")).unionByName(added)
+    first = F.min(F.when(F.col("required"), F.col("pos"))).over(Window.partitionBy("form_id"))
+    spot = lambda k, at: F.struct(k.alias("field_key"), at.alias("at"))
+    own, added = spot(F.col("field_key"), F.col("pos").cast("double")), F.when(F.col("pos") == F.col("first"), spot(-F.col("form_id"), F.col("pos") + 0.5))
+    every = base_fields(spark, sf_dir).withColumn("first", first).select("form_id", F.explode(F.array_compact(F.array(own, added))).alias("s")).select("form_id", "s.*")
     return every.select("form_id", "field_key", F.row_number().over(Window.partitionBy("form_id").orderBy("at")).cast("long").alias("pos"))
 
 
@@ -128,19 +138,15 @@ def apply_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("restore_untouched", f"with {BASE_SQL}, {_NEW_SQL} select n.form_id, n.field_key, case when n.flag = 'O' then n.width else coalesce(b.width, n.width) end as width from new n left join base b on b.form_id = n.form_id and b.field_key = n.field_key")
 def restore_untouched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-17, D-05: fields that no op touched (flag other than O) are as in the baseline."""
-    base = base_fields(spark, sf_dir)
-    old = base.select("form_id", "field_key", F.col("width").alias("old_width"))
-    joined = new_version(base).join(old, ["form_id", "field_key"], "left")
-    return joined.select("form_id", "field_key", F.when(F.col("flag") == "O", F.col("width")).otherwise(F.coalesce("old_width", "width")).alias("width"))
+    both = both_versions(base_fields(spark, sf_dir)).where("in_new")
+    return both.select("form_id", "field_key", F.when(F.col("flag") == "O", F.col("new")).otherwise(F.coalesce("old", "new")).alias("width"))
 
 
 @query("continuation_rule", f"with {BASE_SQL}, {_NEW_SQL}, o as (select b.form_id, count(n.field_key) as shared from base b left join new n on n.form_id = b.form_id and n.field_key = b.field_key group by b.form_id), s as (select form_id, count(*) as n from new group by form_id) select o.form_id, o.shared > 0 or s.n is null as continues from o left join s on s.form_id = o.form_id")
 def continuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-28, D-12: the identity is kept if a field key is, or if nothing is left."""
-    base = base_fields(spark, sf_dir)
-    keys = lambda df, name: df.groupBy("form_id").agg(F.collect_set("field_key").alias(name))
-    both = keys(base, "old").join(keys(new_version(base), "new"), "form_id", "left")
-    return both.select("form_id", (F.col("new").isNull() | F.coalesce(F.arrays_overlap("old", "new"), F.lit(False))).alias("continues"))
+    by = both_versions(base_fields(spark, sf_dir)).groupBy("form_id").agg(F.bool_or(F.col("in_old") & F.col("in_new")).alias("shared"), F.bool_or("in_new").alias("left"))
+    return by.select("form_id", (F.col("shared") | ~F.col("left")).alias("continues"))
 
 
 @query("fill_missing_required", f"""with {BASE_SQL}, sib as (select form_id, type_code, width, pos, row_number() over (partition by form_id, type_code order by pos) as k from base where width % 2 = 0)
@@ -149,12 +155,13 @@ select b.form_id, b.field_key, coalesce(case when b.width % 2 = 0 then b.width e
 from base b left join sib s on s.form_id = b.form_id and s.type_code = b.type_code and s.k = 1""")
 def fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-08, D-09, D-10: an odd width counts as missing; sibling of the type, template, default, else unchanged (null)."""
-    base = base_fields(spark, sf_dir)
-    sibling = base.where("width % 2 = 0").groupBy("form_id", "type_code").agg(F.min_by("width", "pos").alias("sibling"))
+    same = Window.partitionBy("form_id", "type_code")
+    sibling = F.min_by("width", F.when(F.col("width") % 2 == 0, F.col("pos"))).over(same)
+    base = base_fields(spark, sf_dir).withColumn("sibling", sibling)
     dims = spark.createDataFrame([(1, 10, 2), (2, 20, 2), (3, 30, 2), (4, None, 2), (5, None, 2)], "type_code int, template long, default_width long")
     have = F.when(F.col("width") % 2 == 0, F.col("width"))
     found = F.coalesce("sibling", "template", "default_width")
-    joined = base.join(sibling, ["form_id", "type_code"], "left").join(F.broadcast(dims), "type_code", "left")  # five rows
+    joined = base.join(F.broadcast(dims), "type_code", "left")  # five rows
     return joined.select("form_id", "field_key", F.coalesce(have, found).alias("width"), (have.isNull() & found.isNotNull()).alias("changed"))
 
 
@@ -166,20 +173,22 @@ _DIFF_SQL = f"""{BASE_SQL}, {_NEW_SQL}, d as (select coalesce(b.form_id, n.form_
 @query("doc_diff_by_identity", f"with {_DIFF_SQL} select * from d")
 def diff_by_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-19, D-03, H-04: changes of fields aligned by key."""
-    base = base_fields(spark, sf_dir)
-    old = base.select("form_id", "field_key", F.col("width").alias("old"), F.lit(True).alias("in_old"))
-    new = new_version(base).select("form_id", "field_key", F.col("width").alias("new"), F.lit(True).alias("in_new"))
-    kind = F.when(F.col("in_new").isNull(), "remove").when(F.col("in_old").isNull(), "add").otherwise("modify")
-    return old.join(new, ["form_id", "field_key"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new"))).select("form_id", "field_key", kind.alias("kind"), "old", "new")
+    both = both_versions(base_fields(spark, sf_dir)).where(~F.col("old").eqNullSafe(F.col("new")))
+    return both.select("form_id", "field_key", F.when(~F.col("in_new"), "remove").when(~F.col("in_old"), "add").otherwise("modify").alias("kind"), "old", "new")
 
 
 @query("doc_diff_positional", f"with {BASE_SQL}, {_NEW_SQL}, a as (select *, row_number() over (partition by form_id order by pos) as i from base), b as (select *, row_number() over (partition by form_id order by pos) as i from new) select coalesce(a.form_id, b.form_id) as form_id, coalesce(a.i, b.i) as i, case when a.i is null then 'add' else 'modify' end as kind, a.field_key as old, b.field_key as new from a full outer join b on a.form_id = b.form_id and a.i = b.i where a.field_key is distinct from b.field_key")
 def diff_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D-04: without a key, elements are aligned by place; extra old elements are modified to nothing."""
-    base = base_fields(spark, sf_dir)
-    place = F.row_number().over(Window.partitionBy("form_id").orderBy("pos")).cast("long")
-    side = lambda df, name: df.select("form_id", place.alias("i"), F.col("field_key").alias(name))
-    both = side(base, "old").join(side(new_version(base), "new"), ["form_id", "i"], "full_outer")
+    by = Window.partitionBy("form_id").orderBy("pos")
+    there = F.col("type_code") != 4
+    key = F.when(F.col("type_code") == 7, F.col("field_key") + 1000000).otherwise(F.col("field_key"))
+    placed = base_fields(spark, sf_dir).withColumn("i", F.row_number().over(by).cast("long")).withColumn("j", F.sum(there.cast("long")).over(by))
+    side = lambda i, k, new: F.struct(F.col(i).alias("i"), k.alias("k"), F.lit(new).alias("is_new"))
+    sides = F.array_compact(F.array(side("i", F.col("field_key"), False), F.when(there, side("j", key, True))))
+    rows = placed.select("form_id", F.explode(sides).alias("s")).select("form_id", "s.*")
+    of = lambda new: F.max(F.when(F.col("is_new") == new, F.col("k")))
+    both = rows.groupBy("form_id", "i").agg(of(False).alias("old"), of(True).alias("new"))
     return both.where(~F.col("old").eqNullSafe(F.col("new"))).select("form_id", "i", F.when(F.col("old").isNull(), "add").otherwise("modify").alias("kind"), "old", "new")
 
 

@@ -37,9 +37,10 @@ _LINE = ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedpric
 
 def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """form_id, pos, field_key, type_code, required, width, flag: the fields of each form in order, one row each."""
-    lines = table(spark, sf_dir, "lineitem")
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE))
-    return lines.select(F.col("l_orderkey").alias("form_id"), pos.cast("long").alias("pos"), F.col("l_partkey").alias("field_key"), F.col("l_linenumber").alias("type_code"), (F.col("l_returnflag") == "R").alias("required"), F.col("l_quantity").cast("long").alias("width"), F.col("l_linestatus").alias("flag"))
+    # Named before they are dealt, so that what follows knows that a form's fields are together already.
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("form_id"), *_LINE)
+    pos = F.row_number().over(Window.partitionBy("form_id").orderBy(*_LINE))
+    return lines.select("form_id", pos.cast("long").alias("pos"), F.col("l_partkey").alias("field_key"), F.col("l_linenumber").alias("type_code"), (F.col("l_returnflag") == "R").alias("required"), F.col("l_quantity").cast("long").alias("width"), F.col("l_linestatus").alias("flag"))
 
 
 FIELDS_SQL = f"fields as (select l_orderkey as form_id, row_number() over (partition by l_orderkey order by {', '.join(_LINE)}) as pos, l_partkey as field_key, l_linenumber as type_code, l_returnflag = 'R' as required, l_quantity::bigint as width, l_linestatus as flag from lineitem)"
