@@ -87,6 +87,16 @@ def test_suffix_dedup(spark, where, hot, request):
     assert any(w[2] for w in want.values())
 
 
+@pytest.mark.parametrize("hot", [2, suffix_dedup.HOT_GRAM])
+def test_suffix_dedup_whatever_the_order_of_rows(spark, odd_dir, hot):
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    asked = lambda df: Counter(map(tuple, suffix_dedup.remove_repeats(df, hot=hot).drop("kept").collect()))
+    want = asked(docs.coalesce(1).sortWithinPartitions("doc_id"))
+    for seed in (1, 2):
+        assert asked(docs.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(seed)))) == want
+        assert asked(docs.repartition(3, F.xxhash64("text", F.lit(seed)))) == want
+
+
 def test_packing(spark, odd_dir):
     from tokenizers import Tokenizer
 

@@ -140,11 +140,12 @@ def _dealt(buckets: int):
             order = np.lexsort((row, doc))
             # A row that repeats id and text is the same document.
             order = order[np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(row[order]) != 0)])] if len(order) else order
+            doc, row = doc[order], row[order]  # texts are numbered in this order from here on, so anchors come in order of their numbers
             found, texts, numbers, held, since = [], [], [], 0, 0
             data = batch.column("data")
             for k, i in enumerate(order.tolist()):
                 texts.append(data[i].as_buffer().to_pybytes())
-                numbers.append(i)
+                numbers.append(k)
                 held += len(texts[-1])
                 last = k == len(order) - 1
                 if held >= GROUP_BYTES or last:
