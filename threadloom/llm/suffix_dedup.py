@@ -122,13 +122,13 @@ def _dealt(buckets: int):
         turn = np.lexsort((second, stretch, gram))  # stable: the first of equal stretches comes first
         keep = np.ones(len(own), bool)
         keep[turn[1:]] = (gram[turn][1:] != gram[turn][:-1]) | (stretch[turn][1:] != stretch[turn][:-1]) | (second[turn][1:] != second[turn][:-1])
-        # Repeats are decided and go wherever there is room, by their text, not to the bucket of a gram that may be hot.
-        bucket = np.where(keep, (gram >> np.uint64(32)) % np.uint64(buckets), row[own].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        # Repeats are decided and go wherever there is room, by their document, not to the bucket of a gram that may be hot.
+        anywhere = ((doc.view(np.uint64) ^ row.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32))[own]
+        bucket = np.where(keep, gram >> np.uint64(32), anywhere).astype(np.int64) % buckets
         turn = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[turn], np.arange(buckets + 1))
+        there, cuts = np.unique(bucket[turn], return_index=True)
         out = []
-        for b in range(buckets):
-            at = turn[cuts[b] : cuts[b + 1]]
+        for b, at in zip(there.tolist(), np.split(turn, cuts[1:])):
             if len(at):
                 k, g = at[keep[at]], at[~keep[at]]
                 out.append((b, _pack(tuple(v[k] for v in (own, start, n, gram, stretch, second, place)), tuple(v[g] for v in (own, start, n)), doc, row)))
