@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions import text as T
 from ..sources import log_store as L
 from ..sources.tables import event_log
 from .base import query
+from .conversations import CONTEXT_LIMIT, KEEP_RECENT, tokens_sql
 
 _MESSAGES_SQL = "m as (select conv_id, turn as seq, role, text, case when role = 'assistant' and turn % 2 = 1 then 'cfg' || turn end as snap from conversations)"
 
@@ -80,3 +82,39 @@ def interrupt_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda i, role, content: F.struct(F.lit(i).alias("i"), F.lit(role).alias("role"), content.alias("content"))
     parts = F.array(part(1, "user", F.col("input")), part(2, "assistant", F.concat(F.lit("? "), "summary")))
     return _turns(spark, sf_dir).where("coalesce(reply, '') = ''").select("conv_id", "seq", F.explode(parts).alias("p")).select("conv_id", "seq", "p.*")
+
+
+@query("turn_replay_fold", f"""with {_TURNS_SQL} select conv_id, count(*) * 2 as n_messages, count(artifact) as n_checkpoints, arg_max(artifact, seq) filter (where artifact is not null) as last_artifact, arg_max(input, seq) as last_input,
+  string_agg(artifact, ',' order by seq) as artifacts from t group by conv_id""")
+def turn_replay_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-01 over the events that turns wrote: messages, checkpoints in order, the last artifact, the last input."""
+    events = turn_events(spark, sf_dir)
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    saved = F.transform(F.array_sort(F.collect_list(of("checkpoint", F.struct("seq", "content")))), lambda x: x["content"])
+    by = events.groupBy("conv_id").agg(F.count(of("user", F.lit(1))).alias("u"), F.count(of("assistant", F.lit(1))).alias("a"), F.count(of("checkpoint", F.lit(1))).alias("n_checkpoints"), F.max_by("content", of("checkpoint", F.col("seq"))).alias("last_artifact"), F.max_by("content", of("user", F.col("seq"))).alias("last_input"), saved.alias("saved"))
+    return by.select("conv_id", (F.col("u") + F.col("a")).alias("n_messages"), "n_checkpoints", "last_artifact", "last_input", F.nullif(F.array_join("saved", ","), F.lit("")).alias("artifacts"))
+
+
+@query("compaction_events", f"""with m as (select *, row_number() over (partition by conv_id order by turn desc) as rn, sum({tokens_sql('text')}) over (partition by conv_id) + 4 * count(*) over (partition by conv_id) as before from conversations),
+c as (select conv_id, max(before)::bigint as before, count(*) filter (where rn > {KEEP_RECENT}) as n_old, max(turn) filter (where rn > {KEEP_RECENT}) as upto, (sum({tokens_sql('text')}) filter (where rn <= {KEEP_RECENT}) + 4 * count(*) filter (where rn <= {KEEP_RECENT}))::bigint as kept from m group by conv_id having max(before) > {T.compress_trigger(CONTEXT_LIMIT)} and count(*) > {KEEP_RECENT})
+select conv_id, 'compacted' as kind, upto as seq, 'summary of ' || n_old as content from c union all select conv_id, 'trace', upto, before || '>' || kept from c""")
+def compaction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-12: what a compression writes once its summary is there: the compacted event in place of the old part, and a trace of
+    the tokens before and after. The summary itself is given from outside (here: a count)."""
+    rn = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("seq")))
+    log = event_log(spark, sf_dir).withColumn("old", rn > KEEP_RECENT).withColumn("t", T.estimate_tokens(F.col("content")) + 4)
+    total = lambda c: F.sum(c).cast("long")
+    by = log.groupBy("conv_id").agg(total("t").alias("before"), F.count_if("old").alias("n_old"), F.max(F.when(F.col("old"), F.col("seq"))).alias("seq"), total(F.when(~F.col("old"), F.col("t"))).alias("kept"))
+    due = by.where((F.col("before") > T.compress_trigger(CONTEXT_LIMIT)) & (F.col("n_old") > 0))
+    row = lambda kind, content: F.struct(F.lit(kind).alias("kind"), content.alias("content"))
+    rows = F.array(row("compacted", F.concat(F.lit("summary of "), F.col("n_old").cast("string"))), row("trace", F.concat(F.col("before").cast("string"), F.lit(">"), F.col("kept").cast("string"))))
+    return due.select("conv_id", "seq", F.explode(rows).alias("r")).select("conv_id", "r.kind", "seq", "r.content")
+
+
+@query("prompt_with_append", "select conv_id, turn as seq, case when role = 'system' then text else array_to_string(list_filter([case when turn % 2 = 0 then 'section a' end, nullif(trim(text), ''), case when role = 'assistant' then 'append ' || turn end], lambda x: x is not null), chr(10) || chr(10)) end as prompt from conversations")
+def prompt_with_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L-11: an override wins; else the sections, the main part and what is appended, blank parts left out."""
+    section, append = F.when(F.col("seq") % 2 == 0, "section a"), F.when(F.col("kind") == "assistant", F.concat(F.lit("append "), F.col("seq").cast("string")))
+    parts = F.array_compact(F.array(section, F.nullif(F.trim("content"), F.lit("")), append))
+    override = F.when(F.col("kind") == "system", F.col("content"))
+    return event_log(spark, sf_dir).select("conv_id", "seq", F.coalesce(override, F.array_join(parts, "\n\n")).alias("prompt"))

@@ -4,9 +4,11 @@ Documents are built from the typed fields, nested and with odd parts, so that SQ
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import open_documents as O
+from ..operators import linediff, open_documents as O
 from ..sources.tables import BASE_SQL, FIELDS_SQL, first_of_each_key, form_fields, table
 from .base import query
 
@@ -111,6 +113,16 @@ def apply_ops_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("form_id", at("ok").cast("boolean").alias("ok"), at("failures").alias("failures"), at("keys").alias("keys"), at("width").cast("long").alias("first_width"))
 
 
+@query("document_view_diff", f"with {BASE_SQL}, n as (select *, row_number() over (partition by form_id order by pos) as i from base) select form_id, max(case when i = 1 then (width <> 12)::int else 0 end)::int + 1 as added, max(case when i = 1 then (width <> 12)::int else 0 end)::int as removed from n group by form_id")
+def document_view_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-22, E-04: both documents pretty-printed with two spaces, then the line diff: the first field's width set, and a new value
+    of the form, which its neighbour's comma does not show."""
+    patch = lambda d: {"formState": 1} | d | {O.FIELDS: [d[O.FIELDS][0] | {"fieldWidth": 12}, *d[O.FIELDS][1:]]}
+    pretty = lambda f: O.on_json_text(lambda d: json.dumps(f(d), ensure_ascii=False, indent=2))(F.col("doc"))
+    both = _form_docs(spark, sf_dir).select("form_id", linediff.line_diff(pretty(lambda d: d), pretty(patch)).alias("d"))
+    return both.select("form_id", linediff.count_lines(F.col("d"), "add").alias("added"), linediff.count_lines(F.col("d"), "del").alias("removed"))
+
+
 _RULES = {"known": [O.FIELDS, O.KEY, O.TYPE, "selectMode", "displayStyle", "formName"], "allowed_keys": [O.FIELDS, O.KEY, O.TYPE, "selectMode", "displayStyle", "formName", "icon"],
           "types": {"2": {"name": "USER", "required": ["selectMode"]}, "3": {"name": "DEPARTMENT", "required": ["selectMode"]}, "4": {"name": "SEGMENT", "allowed": {"displayStyle": [1]}}}, "templates": {"2": {"selectMode": 5}}}
 
