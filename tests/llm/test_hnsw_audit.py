@@ -91,3 +91,9 @@ def test_recall_is_reported(spark):
     classes = spark.createDataFrame(rows, "class_id long, vec array<double>, label int, copies long, dims int")
     told = hnsw_dedup.recall(hnsw_dedup.searched(classes, shard_rows=50)).first()
     assert told.groups > 1 and told.audited > 0 and 0.9 * told.true_links <= told.found_links <= told.true_links
+
+
+def test_vectors_of_other_lengths_are_never_compared(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.001], 0), (3, [1.0, 0.0, 0.0], 0), (4, [1.0, 0.001, 0.0], 0), (5, [1.0, 0.0], None), (6, [], 0), (7, [2.0, 0.0], 1)]
+    got = hnsw_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True)}
