@@ -5,7 +5,7 @@ A byte goes if a LENGTH-byte string that covers it also starts earlier, in a sma
 1. Every window of LENGTH bytes has a leftmost smallest gram; equal windows have it at the same place. A document thus falls into
    anchors, each with a run of window starts. Only fixed-size records of the anchors travel, packed by gram. Anchors whose gram
    is nowhere else hold no repeated window and end here.
-2. Anchors with one gram whose whole stretch of text is the same (by two independent 64-bit hashes of it) are one string; all but
+2. Anchors with one gram whose whole stretch of text is the same (by 96 bits of two independent hashes of it, beside the 64 of its gram) are one string; all but
    the earliest are repeats. Where a gram stands in different stretches, the earliest of each sends its bytes to the gram's
    group. A gram in very many stretches is told apart by more context: its windows are dealt in CLASSES by where the gram
    stands in them, and grouped by the bytes that all windows of a class share.
@@ -29,7 +29,7 @@ from .common import bound_batches, give_back, materialize
 LENGTH, GRAM, SLACK = 100, 24, 16
 WINDOW = LENGTH - GRAM + 1
 #: Text bytes whose anchors share one group, text bytes hashed at a time, text bytes packed at a time.
-BUCKET_BYTES, GROUP_BYTES, PART_BYTES = 12 << 20, 1 << 19, 1 << 23
+BUCKET_BYTES, GROUP_BYTES, PART_BYTES = 16 << 20, 1 << 19, 1 << 23
 #: Groups of stretches that are sorted, for each bucket of anchors.
 PARTS = 4
 #: Grams in more different stretches are dealt by context; classes of windows by the place of the gram in them.
@@ -72,7 +72,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     ends = np.cumsum(sizes)
     x = np.frombuffer(b"".join(texts), np.uint8)
     if not len(x) or sizes.max(initial=0) < LENGTH:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64, np.uint8))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint32, np.uint64, np.uint8))
     h = gram_hashes(x)
     at = window_minima(h)
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(at)]
@@ -90,25 +90,26 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     second, last = n.astype(np.uint64), low + n - 1 + LENGTH - 8
     for k in range(-(-(WINDOW + LENGTH) // 8)):
         second = (second ^ (second >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + words[np.minimum(low + 8 * k, last)] * np.uint64(0x9E3779B97F4A7C15)
-    return owner, low - (ends - sizes)[owner], n, gram, stretch, second, (at[first] - low).astype(np.uint8)
+    return owner, low - (ends - sizes)[owner], n, gram, (stretch >> np.uint64(32)).astype(np.uint32), second, (at[first] - low).astype(np.uint8)
 
 
 def _pack(keep: tuple, gone: tuple, doc: np.ndarray, row: np.ndarray) -> bytes:
     (own, start, n, gram, stretch, second, at), (own2, start2, n2) = keep, gone
     used = np.union1d(own, own2)
     counts = [np.bincount(np.searchsorted(used, o), minlength=len(used)) for o in (own, own2)]  # anchors are in order of their texts
-    parts = [np.array([len(own), len(own2), len(used)], "<i8"), gram, stretch, second, doc[used], row[used], *(c.astype("<u4") for c in counts), np.concatenate([start, start2]).astype("<i4"), np.concatenate([n, n2]).astype("u1"), at]
+    width = 2 if max(c.max(initial=0) for c in counts) < 1 << 16 else 4
+    parts = [np.array([len(own), len(own2), len(used), width], "<i8"), gram, second, doc[used], row[used], stretch, np.concatenate([start, start2]).astype("<i4"), *(c.astype(f"<u{width}") for c in counts), np.concatenate([n, n2]).astype("u1"), at]
     return b"".join(p.tobytes() for p in parts)
 
 
 def _unpack(data: bytes | pa.Buffer) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """(gram, stretch, second, doc, row, start, n, at) of the anchors that were kept, (doc, row, start, n) of the repeats."""
-    a, b, used = np.frombuffer(data, "<i8", 3)
-    at, out = 24, []
-    for kind, size in (("<u8", a), ("<u8", a), ("<u8", a), ("<i8", used), ("<i8", used), ("<u4", used), ("<u4", used), ("<i4", a + b), ("u1", a + b), ("u1", a)):
+    a, b, used, width = np.frombuffer(data, "<i8", 4)
+    at, out = 32, []
+    for kind, size in (("<u8", a), ("<u8", a), ("<i8", used), ("<i8", used), ("<u4", a), ("<i4", a + b), (f"<u{width}", used), (f"<u{width}", used), ("u1", a + b), ("u1", a)):
         out.append(np.frombuffer(data, kind, size, at))
         at += out[-1].nbytes
-    gram, stretch, second, doc, row, kept, gone, start, n, place = out
+    gram, second, doc, row, stretch, start, kept, gone, n, place = out
     number = np.concatenate([np.repeat(np.arange(used), kept), np.repeat(np.arange(used), gone)])
     every = doc[number], row[number], start, n
     return (gram, stretch, second, *(v[:a] for v in every), place), tuple(v[a:] for v in every)
@@ -213,6 +214,9 @@ def _of_bucket(hot: int, group: pa.Table) -> pa.Table:
 def _wanted(asked: DataFrame, data: DataFrame, parts: int) -> DataFrame:
     """(doc, row, start, n, bytes, part): the asked stretches with their bytes and SLACK more, dealt by gram.
 
+    Carried columns of `data` are named here, to no effect, so that they stay in the exchange of the texts, which the last join
+    then reads again instead of dealing the texts once more.
+
     A stretch of a hot gram comes in up to CLASSES pieces: a piece has the windows in which the gram stands from `low` to `high`,
     and is dealt by the bytes that all such windows have around the gram, whatever their place: equal windows still meet."""
     edges = [k * WINDOW // CLASSES for k in range(CLASSES + 1)]
@@ -222,6 +226,8 @@ def _wanted(asked: DataFrame, data: DataFrame, parts: int) -> DataFrame:
     cut = asked.withColumn("p", F.explode(F.when(F.col("at").isNull(), whole).otherwise(pieces))).select("doc", "row", "gram", "p.*")
     text = data.join(cut, ["doc", "row"])
     key = F.xxhash64("gram", F.expr("core_n"), F.expr("substring(data, core + 1, core_n)"))
+    carried = [c for c in data.columns if c not in ("doc", "row", "data")]
+    key = key.bitwiseXOR(F.xxhash64(*carried).bitwiseAND(F.lit(0))) if carried else key
     stretch = F.expr(f"substring(data, start + 1, last - start + {LENGTH + SLACK})")
     return text.select("doc", "row", "start", F.expr("last - start + 1").cast("int").alias("n"), stretch.alias("bytes"), F.pmod(key, F.lit(parts)).alias("part"))
 
@@ -381,14 +387,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id and other text are separate documents, ordered by a hash of the text; rows without an id come after all others. An
     empty table gives no rows. Other columns are not read."""
     bound_batches(docs.sparkSession)
-    marked = identified(docs, id_col, text_col)
+    marked = identified(docs, id_col, text_col, carry)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(8, math.ceil(total / bucket_bytes))
-    packed = marked.mapInArrow(_dealt(buckets), "bucket int, packed binary")
+    buckets = max(4, math.ceil(total / bucket_bytes))
+    packed = marked.select("doc", "row", "data").mapInArrow(_dealt(buckets), "bucket int, packed binary")
     matched = materialize(packed.groupBy("bucket").applyInArrow(_matched(hot), RANGES))
     repeats = _wanted(matched.where("gram is not null"), marked, buckets * PARTS).groupBy("part").applyInArrow(_sorted_repeats, RANGES)
     ranges = matched.where("gram is null").unionByName(repeats).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    joined = identified(docs, id_col, text_col, carry).join(ranges, ["doc", "row"], "left")
+    joined = marked.join(ranges, ["doc", "row"], "left")
     schema = joined.drop("data", "ranges").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "string" if as_text else "binary")
     return joined.mapInArrow(_cut(as_text), schema)
 
