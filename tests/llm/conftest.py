@@ -10,7 +10,7 @@ import pytest
 WORDS = "the river stone under old bridge carries water to a mill where seven people grind wheat barley and rye for bread".split()
 GERMAN = "der alte fluss trägt das wasser zur mühle wo sieben leute weizen gerste und roggen für das brot mahlen".split()
 #: Names the operators use inside.
-CLASHING = "size range fp component sig row data bucket part lang_pred score header payload class_id copies rank cb salt length start n".split()
+CLASHING = "size range fp component sig row data bucket part lang_pred score header payload class_id copies rank cb salt length start n terms sources counts place value words features weight score _copy _id".split()
 
 
 def prose(rng, words, n):
@@ -48,6 +48,11 @@ def pages():
     return rows + [(100, None, None), (101, "http://b.example/\r\nX: y", ""), (102, "http://c.example/é", "ü𝒳" * 50), (103, "http://d.example/", "z" * 100_000)]
 
 
+def benchmark():
+    rng = random.Random(7)
+    return [(k, prose(rng, WORDS, 30)) for k in range(20)] + [(50, None), (51, ""), (51, "Ünïcode MILL mill 12 a-b")]
+
+
 def put(folder, name, columns, rows, clash):
     table = pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(columns)})
     for c in clash:
@@ -61,6 +66,7 @@ def tables(folder, full):
     put(folder, "documents", [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())], docs, CLASHING)
     put(folder, "embeddings", [("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("label", pa.int64())], embeddings() if full else [], CLASHING)
     put(folder, "pages", [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())], pages() if full else [], CLASHING)
+    put(folder, "benchmark", [("item_id", pa.int64()), ("text", pa.string())], benchmark() if full else [], CLASHING)
     return str(folder)
 
 
