@@ -38,7 +38,7 @@ LONG_WORD = 1 << 12
 NO_ID = 2**63 - 1
 
 DEALT = "bucket int, doc array<long>, row array<long>, n_each array<int>, key array<long>, check array<long>, start array<int>, n array<int>, decided boolean"
-RANGES = "doc long, row long, start array<int>, n array<int>, asked boolean"
+RANGES = "doc long, row long, start int, n int, asked boolean"
 
 
 def cover(period: int) -> tuple[int, ...]:
@@ -225,12 +225,9 @@ def dealt(buckets: int, window: int, period: int | None):
 
 
 def _told(doc: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray, asked: bool) -> pa.RecordBatch:
-    """One row per document; the ranges of each as they are."""
-    turn = np.lexsort((row, doc))
-    doc, row, start, n = (v[turn] for v in (doc, row, start, n))
-    opens = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(row) != 0)])) if len(doc) else np.zeros(0, int)
-    cuts = np.concatenate([opens, [len(doc)]])
-    return pa.RecordBatch.from_arrays([pa.array(doc[opens], pa.int64()), pa.array(row[opens], pa.int64()), _lists(start, cuts, pa.int32()), _lists(n, cuts, pa.int32()), pa.array([asked] * len(opens), pa.bool_())], names=["doc", "row", "start", "n", "asked"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    columns = [pa.array(v.astype(t.to_pandas_dtype()), t) for v, t in zip((doc, row, start, n), kinds)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(doc), asked))], names=["doc", "row", "start", "n", "asked"])
 
 
 def repeats(doc, row, key, check, start, n, ask: bool) -> Iterator[pa.RecordBatch]:
@@ -324,7 +321,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     met = materialize(met)
     # One row per document: repeated rows are counted before the texts are dealt, and both joins read the same exchange.
     unique = named.groupBy("doc", "row").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    ranges = lambda df: df.groupBy("doc", "row").agg(F.flatten(F.collect_list("start")).alias("start"), F.flatten(F.collect_list("n")).alias("n"))
+    ranges = lambda df: df.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("r")).select("doc", "row", F.col("r.start").alias("start"), F.col("r.n").alias("n"))
     wanted = unique.join(ranges(met.where("asked")), ["doc", "row"]).select("doc", "row", F.encode("text", "UTF-8").alias("data"), "start", "n", "copies")
     again = wanted.mapInArrow(dealt(buckets, window, None), DEALT).groupBy("bucket").applyInArrow(_met(False, most_held), RANGES)
     gone = ranges(met.where("not asked").unionByName(again))
