@@ -161,6 +161,26 @@ def test_sharding_balances_bytes(spark):
         assert max(held.values()) <= 1.01 * mean and min(held.values()) >= 0.99 * mean
 
 
+@pytest.mark.parametrize("repeated", ["id", "row", "text", "two ids"])
+def test_sharding_balances_bytes_of_repeated_rows(spark, repeated):
+    text = lambda k: f"{k % 10**6:06d}" + "x" * 44
+    rows = [(k, text(k)) for k in range(4000)]
+    rows += {"id": [(7, text(k)) for k in range(4000)], "row": [(7, text(7))] * 4000, "text": [(9000 + k, text(7)) for k in range(4000)], "two ids": [(7 + k % 2, text(7)) for k in range(4000)]}[repeated]
+    rows = sharding.records(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    first = sharding.build_map(rows, 24)
+    for m, shards in ((first, 24), (sharding.rebalanced(first, 25), 25)):
+        got = sharding.assign(rows, m).collect()
+        held = Counter(r.shard for r in got)
+        assert len(got) == 8000 and all(r["size"] == 58 for r in got) and len(held) == shards
+        assert max(held.values()) <= min(held.values()) * 1.01 + 1
+        by = defaultdict(list)
+        for r in got:
+            by[r.shard].append(r.slot)
+        assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert any(r[5] for r in first) == (repeated in ("row", "two ids"))
+    assert max(Counter(r.virtual_slot for r in got).values()) < 40
+
+
 def test_sharding_map_versions(spark, odd_dir, tmp_path):
     docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
     first = sharding.build_map(docs, 8)
