@@ -77,25 +77,32 @@ def give_back() -> None:
         trim(0)
 
 
+def beside(edges: DataFrame, key: str, least: DataFrame, how: str) -> DataFrame:
+    """`edges` with the `top` that `least` (hi, top: one row per node) has for the node in `key`.
+
+    Both sides are read from what is stored, so each is dealt by an exchange of its own: of a node with very many edges, Spark's
+    skew join then splits the edges over tasks. A side that came straight from its aggregate could not be split."""
+    return edges.join(least.withColumnRenamed("hi", "_node"), F.col(key) == F.col("_node"), how).drop("_node")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge, component = the smallest node that links reach.
 
-    Alternates the large-star and small-star steps (Kiveris et al., 2014): each is one aggregate and one
-    equi-join on the same key, nothing is gathered, and hot centres are left to the skew join. Null ends and self
-    links are ignored; an empty edge table gives no rows. Raises if max_rounds does not suffice (it needs
-    O(log^2 n) rounds)."""
+    Alternates the large-star and small-star steps (Kiveris et al., 2014): each is one aggregate and one equi-join, nothing is
+    gathered, and a hub's edges are split (see beside). Null ends and self links are ignored; an empty edge table gives no rows.
+    Raises if max_rounds does not suffice (it needs O(log^2 n) rounds)."""
     e = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("hi") != F.col("lo")))
     e = materialize(e.distinct())
     seen = None
+    least = lambda e: materialize(e.groupBy("hi").agg(F.min("lo").alias("top")))
     for _ in range(max_rounds):
         mark = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").bitwiseAND(0x7FFFFFFF))).first())
         if mark == seen or mark[0] == 0:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
         seen = mark
-        up = e.groupBy("hi").agg(F.min("lo").alias("top"))
-        large = e.join(up.withColumnRenamed("hi", "mid"), F.col("lo") == F.col("mid"), "left").select("hi", F.coalesce("top", "lo").alias("lo")).distinct()
-        up = large.groupBy("hi").agg(F.min("lo").alias("top"))
-        near = large.join(up, "hi").select(F.explode(F.array(F.struct("hi", F.col("top").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("top").alias("lo")))).alias("s")).select("s.*")
+        large = materialize(beside(e, "lo", least(e), "left").select("hi", F.coalesce("top", "lo").alias("lo")).distinct())
+        both = F.array(F.struct("hi", F.col("top").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("top").alias("lo")))
+        near = beside(large, "hi", least(large), "inner").select(F.explode(both).alias("s")).select("s.*")
         e = materialize(near.where("hi != lo").distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import connected_components, give_back, materialize
+from .common import connected_components, give_back, look_up, materialize
 from .simhash import _forest
 
 THRESHOLD = 0.98
@@ -364,14 +364,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows
     found = materialize(searched(classes, threshold, shard_rows, audited))
     linked = found.where("a is not null and b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
     parts = connected_components(found.where("b is not null").select("a", "b"))
-    named = classes.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id")).join(linked, "class_id")
-    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(smallest, "component").select("class_id", "component_id", (F.col("copies") - 1 + F.col("others")).alias("n_links"))
-    asked = base.select("vec_id", F.col("vec").isNotNull().alias("sound"), F.xxhash64("label", "vec").alias("class_id"))
-    out = asked.withColumn("class_id", F.when(F.col("sound"), F.col("class_id"))).join(named, "class_id", "left")
-    single = ~F.col("sound")
-    component = F.when(single, F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    joined = classes.select("class_id", "first_id", "copies").join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").join(linked, "class_id")
+    joined = materialize(joined.select("class_id", "first_id", "copies", (F.col("copies") - 1 + F.col("others")).cast("long").alias("n_links"), F.coalesce("component", "class_id").alias("component")))
+    # A component may hold most classes, a class most vectors: both are looked up, not dealt by their name.
+    smallest = materialize(joined.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    named = materialize(look_up(joined, smallest, "component", "members").select("class_id", "component_id", "n_links", "copies"))
+    found = look_up(usable.select("vec_id", F.xxhash64("label", "vec").alias("class_id")), named, "class_id", "copies").select("vec_id", "n_links", "component_id")
+    single = base.where(F.col("vec").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return found.unionByName(single).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op1_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
