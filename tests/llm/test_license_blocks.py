@@ -80,6 +80,61 @@ def test_every_template_is_told_from_the_others(name):
     assert [g[2] for g in known.told("x " + few + " y")] == [name]
 
 
+def at_full_tolerance(rng, words, missing, added, where):
+    """The words with that many taken out and that many put in, at the start, the end, both or anywhere; none with a digit goes."""
+    out, n = list(words), len(words)
+    span = lambda: {"start": rng.randrange(min(n, 2 * missing + 3)), "end": n - 1 - rng.randrange(min(n, 2 * missing + 3)), "both": rng.choice([0, 1, 2, n - 1, n - 2, n - 3]) % n, "any": rng.randrange(n)}[where]
+    gone = set()
+    for _ in range(60):
+        at = span()
+        if len(gone) < missing and not any(c.isdigit() for c in words[at]):
+            gone.add(at)
+    put = [span() for _ in range(added)]
+    for k in range(n):
+        fresh = ["zulu"] * put.count(k)
+        out[k] = fresh + ([] if k in gone else [words[k]]) if k or where == "any" else ([] if k in gone else [words[k]]) + fresh
+    return [w for part in out for w in part]
+
+
+@pytest.mark.parametrize("where", ["start", "end", "both", "any"])
+def test_no_edit_within_the_tolerance_is_lost(where):
+    rng, known, planted, lost = random.Random(where), L.Templates(L.TEMPLATES), 0, []
+    for name, words in known.words.items():
+        for _ in range(12 if len(words) < 100 else 4):
+            for missing, added in ((known.most[name], known.most[name]), (known.most[name], 0), (0, known.most[name])):
+                block = at_full_tolerance(rng, words, missing, added, where)
+                if not block or not known.agrees(name, block):
+                    continue
+                planted += 1
+                text = f"Seven mills stand here. {' '.join(block)} ; and so on they stood."
+                low = text.index(" ".join(block))
+                if not any(s < low + len(" ".join(block)) and low < e for s, e, *_ in known.told(text)):
+                    lost.append((name, text))
+    assert planted > 250 and not lost, (len(lost), planted, lost[:3])
+
+
+def test_a_word_added_before_the_last():
+    known = L.Templates(L.TEMPLATES)
+    got = known.told("This work is licensed under the GNU General Public License, version number 2.")
+    assert [(g[2], g[6]) for g in got] == [("GPL-2.0-notice", "+number")]
+    assert [g[2] for g in known.told("It is licensed under the GNU General Public License, version 3.")] == []  # two words of twelve are too many
+    assert [(g[2], g[6]) for g in known.told("The work is licensed under the GNU General Public License, version 3.")] == [("GPL-3.0-notice", "-this")]
+
+
+def test_alignment_keeps_most_words():
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd1") for _ in range(rng.randrange(9))] for _ in range(2))
+        missing, added = L.aligned(a, b)
+        best = [[(0, 0)] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                up = best[i - 1][j - 1]
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], (up[0] + (x == "1"), up[1] + 1) if x == y else up)
+        assert len(a) - len(missing) == len(b) - len(added) == best[-1][-1][1]
+        assert a.count("1") - missing.count("1") == best[-1][-1][0]
+
+
 def test_time_grows_with_the_text():
     known = L.Templates(L.TEMPLATES)
     spent = {}

@@ -1,7 +1,9 @@
 """License scan by conditional compression.
 
 Blocks are cut where a text shares runs of words with a template: a block within the tolerance of a template keeps a known share
-of the template's word triples, so one walk over the words finds every place that can hold one. Each block is compressed with
+of the template's word triples, so one walk over the words finds every place that can hold one. Where the template's first and last
+run stand there and what lies between agrees, that is the block; else all stretches of the place that can begin and end one are
+aligned with the template, so that an edit at an end is found like any other. Each block is compressed with
 Zstandard, once plainly and once per template with the template as raw dictionary. Templates are ranked by the share of bytes
 that they save; the first that the exact differences of wording confirm is the block's license. Of blocks that overlap, the one
 that saves most bytes is told."""
@@ -14,7 +16,9 @@ from array import array
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -68,6 +72,7 @@ class Templates:
         self.words = {k: w for k, t in templates.items() if (w := words(t))}
         self.most = {k: int(tolerance * len(w)) for k, w in self.words.items()}
         self.kept: dict[bytes, tuple | None] = {}
+        self.stretches = lru_cache(MOST_KEPT)(self._stretches)
         self.plain = zstd.ZstdCompressor(level=19)
         raw = lambda t: zstd.ZstdCompressionDict(t.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
         self.given = {k: zstd.ZstdCompressor(level=19, dict_data=raw(templates[k])) for k in self.words}
@@ -80,8 +85,8 @@ class Templates:
             for at in range(len(w) - run + 1):
                 self.runs[run][tuple(w[at : at + run])].append((k, at))
 
-    def blocks(self, said: list[str]) -> list[tuple[int, int]]:
-        """(first word, end word) of all places in a text's words that can hold a template, in order.
+    def places(self, said: list[str]) -> Iterator[tuple[str, list[tuple[int, int]], int, int]]:
+        """(template, blocks by its first and last run, first word, end word) of all places in a text's words that can hold a template.
 
         One walk collects the template runs that stand in the text. Those of one block lie on few diagonals (place in the text
         less place in the template), as edits shift them by no more than may be missing or added; diagonals are put into
@@ -91,22 +96,42 @@ class Templates:
             for at, gram in enumerate(zip(*(said[k:] for k in range(run)))):
                 for name, offset in known.get(gram, ()):
                     hits[name][(at - offset) // (2 * self.most[name] + 1)].append((at, offset))
-        out = set()
         for name, bands in hits.items():
             n, most, least = len(self.words[name]), self.most[name], self.least[name]
+            run, width = min(RUN, n), 2 * most + 1
             for band, own in bands.items():
                 both = own + bands.get(band + 1, []) if most else own
-                if len(both) < least:
-                    continue
-                for line, _ in Counter(p - o for p, o in both).most_common(3):
-                    near = sorted((p, o) for p, o in both if abs(p - o - line) <= 2 * most)
-                    if len(near) < least:
-                        continue
-                    for reach in {most, 2 * most}:
-                        ahead = [(p, o) for p, o in near if abs(p - o - line) <= reach]
-                        (p0, o0), (p1, o1) = ahead[0], ahead[-1]
-                        out.add((max(0, p0 - o0), min(len(said), p1 + n - o1)))
-        return sorted(out)
+                if len(both) >= least:
+                    starts, ends = {p for p, o in both if o == 0}, {p + run for p, o in both if o == n - run}
+                    sure = sorted(((abs(e - s - n), s, e) for s in starts for e in ends if abs(e - s - n) <= most))
+                    low, high = band * width, (band + (2 if most else 1)) * width - 1
+                    yield name, [x[1:] for x in sure], max(0, low - most), min(len(said), high + n + most)
+
+    def _stretches(self, name: str, said: tuple[str, ...]) -> list[tuple[int, int]]:
+        """All (first word, end word) within a place whose words keep enough of the template's in order, the closest first.
+
+        A block begins with one of the template's first words and ends with one of its last: whatever is missing or added there
+        is counted, and a stretch with added words at its ends is no block."""
+        ours, most = self.words[name], self.most[name]
+        n, first, last = len(ours), set(self.words[name][: most + 1]), set(self.words[name][-most - 1 :])
+        there = {w: np.array([x == w for x in said]) for w in set(ours)}
+        out = []
+        for s in (k for k, w in enumerate(said) if w in first):
+            longest = min(n + most, len(said) - s)
+            if longest < n - most:
+                break
+            kept = np.zeros(longest + 1, np.int32)  # words in common with what begins here, by its length
+            for k, w in enumerate(ours):
+                kept[1:] = np.maximum(kept[1:], kept[:-1] + there[w][s : s + longest])
+                np.maximum.accumulate(kept, out=kept)
+                if kept[-1] < k + 1 - most:
+                    break
+            else:
+                size = np.arange(longest + 1)
+                for m in np.flatnonzero((n - kept <= most) & (size - kept <= most)).tolist():
+                    if said[s + m - 1] in last:
+                        out.append((n + m - 2 * int(kept[m]), s, s + m))
+        return [x[1:] for x in sorted(out)]
 
     def ranked(self, block: bytes) -> list[tuple[float, int, str]]:
         """(share of the plainly compressed bytes that a template saves, bytes saved, template), most first, then by name."""
@@ -115,15 +140,27 @@ class Templates:
         return sorted(((s / plain, s, name) for s, name in saved if s > 0), key=lambda x: (-x[0], x[2]))
 
     def differences(self, name: str, theirs: list[str]) -> tuple[list[str], list[str]]:
-        """Words of the template that the block lacks, and words it has instead."""
+        """Words of the template that the block lacks, and words it has instead: as few as there can be if that is within the tolerance."""
         ours = self.words[name]
+        if ours == theirs:
+            return [], []
         missing, added = [], []
-        if ours != theirs:
-            for kind, a, b, c, d in difflib.SequenceMatcher(None, ours, theirs, autojunk=False).get_opcodes():
-                if kind != "equal":
-                    missing += ours[a:b]
-                    added += theirs[c:d]
-        return missing, added
+        for kind, a, b, c, d in difflib.SequenceMatcher(None, ours, theirs, autojunk=False).get_opcodes():
+            if kind != "equal":
+                missing += ours[a:b]
+                added += theirs[c:d]
+        if self._within(name, missing, added):
+            return missing, added
+        # The matcher above looks for long runs; the fewest differences come from an alignment of all words.
+        lacking, extra = (sum((Counter(x) - Counter(y)).values()) for x, y in ((ours, theirs), (theirs, ours)))
+        numbers = [sorted(w for w in x if any(c.isdigit() for c in w)) for x in (ours, theirs)]
+        return aligned(ours, theirs) if max(lacking, extra) <= self.most[name] and numbers[0] == numbers[1] else (missing, added)
+
+    def _within(self, name: str, missing: list[str], added: list[str]) -> bool:
+        return max(len(missing), len(added)) <= self.most[name] and not any(c.isdigit() for w in (*missing, *added) for c in w)
+
+    def agrees(self, name: str, theirs: list[str]) -> bool:
+        return abs(len(theirs) - len(self.words[name])) <= self.most[name] and self._within(name, *self.differences(name, theirs))
 
     def confirmed(self, block: bytes, said: list[str]) -> tuple | None:
         """(bytes saved, share, template, missing words, added words) of the best-ranked template whose wording agrees.
@@ -137,12 +174,8 @@ class Templates:
 
     def _confirmed(self, block: bytes, said: list[str]) -> tuple | None:
         for share, saved, name in self.ranked(block):
-            if abs(len(said) - len(self.words[name])) > self.most[name]:
-                continue
-            missing, added = self.differences(name, said)
-            same_numbers = not any(c.isdigit() for w in (*missing, *added) for c in w)
-            if same_numbers and max(len(missing), len(added)) <= self.most[name]:
-                return saved, share, name, missing, added
+            if self.agrees(name, said):
+                return saved, share, name, *self.differences(name, said)
         return None
 
     def told(self, text: str) -> list[tuple]:
@@ -152,18 +185,43 @@ class Templates:
             starts.append(m.start())
             ends.append(m.end())
             said.append(m.group().lower())
-        found = []
-        for low, high in self.blocks(said):
-            hit = self.confirmed(text[starts[low] : ends[high - 1]].encode("utf-8", "replace"), said[low:high])
-            if hit:
-                found.append((low, high, hit))
+        found = {}
+        for name, sure, low, high in self.places(said):
+            near = (x for x in sure if self.agrees(name, said[x[0] : x[1]]))
+            block = next(near, None)
+            if block is None:
+                wide = ((low + s, low + e) for s, e in self.stretches(name, tuple(said[low:high])))
+                block = next((x for x in wide if self.agrees(name, said[x[0] : x[1]])), None)
+            if block and block not in found:
+                found[block] = self.confirmed(text[starts[block[0]] : ends[block[1] - 1]].encode("utf-8", "replace"), said[block[0] : block[1]])
         out = []
-        for low, high, (saved, share, name, missing, added) in apart(found):
+        for low, high, (saved, share, name, missing, added) in apart(sorted((*b, hit) for b, hit in found.items() if hit)):
             wording = " ".join([f"-{w}" for w in missing] + [f"+{w}" for w in added])
             out.append((starts[low], ends[high - 1], name, saved, len(missing), len(added), wording, share))
         return out
 
 
+def aligned(ours: list[str], theirs: list[str]) -> tuple[list[str], list[str]]:
+    """The words of either side that the other has not, by an alignment that keeps most words, words with a digit before all."""
+    rows = [np.zeros(len(theirs) + 1, np.int64)]
+    there = {w: np.array([x == w for x in theirs]) for w in set(ours)}
+    for w in ours:
+        row = rows[-1].copy()
+        row[1:] = np.maximum(row[1:], rows[-1][:-1] + there[w] * (len(ours) + 1 if any(c.isdigit() for c in w) else 1))
+        rows.append(np.maximum.accumulate(row))
+    a, b, missing, added = len(ours), len(theirs), [], []
+    while a or b:
+        if a and rows[a][b] == rows[a - 1][b]:
+            a -= 1
+            missing.append(ours[a])
+        elif b and rows[a][b] == rows[a][b - 1]:
+            b -= 1
+            added.append(theirs[b])
+        else:
+            a, b = a - 1, b - 1
+    return missing[::-1], added[::-1]
+
+
 def apart(found: list[tuple]) -> list[tuple]:
     """Of blocks (first word, end word, (bytes saved, ...)) in order, those that overlap none that saves more bytes, in order."""
     out: list[tuple] = []
