@@ -31,3 +31,10 @@ def test_json_from_text(spark):
         assert one(spark, T.json_from_text, reply) == '{"k":1}'
     assert one(spark, T.json_from_text, "none") is None
     assert one(spark, T.json_from_text, None) is None
+
+
+def test_event_and_data_of_a_frame(spark):
+    frames = {"event: a\ndata: {\"x\":\ndata: 1}": ("a", '{"x":1}'), "event: a\nevent:\t b \ndata:x \ndata:\tx": ("b", "xx"), "data: 1": (None, "1"), ": ping": (None, ""), "event:\ndata: 2": (None, "2"), "event: a\r\ndata: z\r": ("a", "z"), " event: no\nevents: no\ndatax: 1\nevent: yes": ("yes", "")}
+    rows = spark.createDataFrame([(f,) for f in frames], "f string")
+    got = {r[0]: (r[1], r[2]) for r in rows.select("f", T.sse_event(F.col("f")), T.sse_data(F.col("f"))).collect()}
+    assert got == frames

@@ -76,9 +76,23 @@ def sse_frame(event: Column, data: Column) -> Column:
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), data, F.lit("\n\n"))
 
 
-def sse_field(frame: Column, name: str) -> Column:
-    """Value of the first line `name:` of a frame, null if there is none."""
-    return F.nullif(F.regexp_extract(frame, rf"(?m)^{name}: ?(.*)$", 1), F.lit(""))
+_SPACE = " \t\r\n\x0b\x0c"
+
+
+def _field_lines(frame: Column, name: str) -> Column:
+    """What the lines `name:` of a frame say, trimmed, in order."""
+    own = F.filter(F.split(frame, "\n"), lambda x: x.startswith(f"{name}:"))
+    return F.transform(own, lambda x: F.btrim(F.substr(x, F.lit(len(name) + 2)), F.lit(_SPACE)))
+
+
+def sse_event(frame: Column) -> Column:
+    """The event of a frame: what its last `event:` line says, null if that is nothing or there is none."""
+    return F.nullif(F.try_element_at(_field_lines(frame, "event"), F.lit(-1)), F.lit(""))
+
+
+def sse_data(frame: Column) -> Column:
+    """The data of a frame: its `data:` lines, one after the other with nothing between."""
+    return F.array_join(_field_lines(frame, "data"), "")
 
 
 def csv_list(text: Column) -> Column:

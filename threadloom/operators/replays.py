@@ -75,12 +75,20 @@ def ttl_step(written: int | None, row: tuple) -> tuple[int, list[tuple]]:
     return written if hit else at, [(number, hit)]
 
 
-def frame_step(tail: str | None, row: tuple) -> tuple[str, list[tuple]]:
-    """row: (text,) of a chunk; comes back as the frames that it completes. A frame ends at a blank line; the rest waits."""
-    *frames, tail = ((tail or "") + (row[0] or "")).split("\n\n")
-    return tail, [(f, True) for f in frames if f.strip()]
+def frame_step(held: list[str] | None, row: tuple) -> tuple[list[str], list[tuple]]:
+    """row: (text,) of a chunk; comes back as the frames that it completes. A frame ends at a blank line; the rest waits.
 
+    What waits is put together only when its end has come, so a frame in many chunks costs its length once."""
+    held, text = held or [], row[0] or ""
+    before = next((h for h in reversed(held) if h), "")
+    if "\n\n" not in before[-1:] + text:
+        held.append(text)
+        return held, []
+    *frames, tail = ("".join(held) + text).split("\n\n")
+    return [tail], [(f, True) for f in frames if f.strip()]
 
-def unfinished(tail: str | None) -> list[tuple]:
+
+def unfinished(held: list[str] | None) -> list[tuple]:
     """What is left of a stream that ended within a frame."""
-    return [(tail, False)] if tail and tail.strip() else []
+    tail = "".join(held or [])
+    return [(tail, False)] if tail.strip() else []

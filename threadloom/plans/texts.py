@@ -85,27 +85,31 @@ def sse_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.sse_frame(F.col("event_type"), F.col("props")).alias("frame"))
 
 
-#: Each frame comes in two chunks, cut within its first line; every 11th has no JSON; the last frame of users with an even id lacks
-#: its end.
-_CHUNKS_SQL = "f as (select *, event_id % 11 <> 0 as good, user_id % 2 = 0 and event_id = max(event_id) over (partition by user_id) as torn from events)"
+#: Each frame comes in three chunks, cut within its first line and before its last character. Views tell their JSON in two data
+#: lines, purchases name two events, errors none; users with an even id end within a frame. Some data is not JSON.
+_FRAMES_SQL = "f as (select *, value < 20 as bad, user_id % 2 = 0 and event_id = max(event_id) over (partition by user_id) as torn from events)"
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.max("event_id").over(Window.partitionBy("user_id"))
     events = table(spark, sf_dir, "events").withColumn("torn", (F.col("user_id") % 2 == 0) & (F.col("event_id") == last))
-    data = F.when(F.col("event_id") % 11 == 0, "{not json").otherwise(F.col("props"))
-    frame = T.sse_frame(F.col("event_type"), data)
-    whole = F.when(F.col("torn"), F.regexp_replace(frame, r"\n\n$", "\n")).otherwise(frame)
-    parts = F.posexplode(F.array(F.substring("frame", 1, 9), F.expr("substring(frame, 10)"))).alias("part", "text")
-    return events.select("user_id", "event_id", whole.alias("frame")).select("user_id", "event_id", parts)
-
-
-@query("sse_parse", f"with {_CHUNKS_SQL} select user_id, event_type as event, count(*) as frames, sum(case when good then cast(json_extract(props, '$.k') as bigint) end)::bigint as total, sum((not good)::int)::bigint as broken from f where not torn group by 1, 2")
+    kind = F.col("event_type")
+    told = F.when(kind == "error", F.lit(": a comment")).when(kind == "purchase", F.concat(F.lit("event: draft\nevent:\t"), kind, F.lit(" "))).otherwise(F.concat(F.lit("event:"), kind))
+    colon = F.instr("props", ":")
+    cut = F.concat(F.lit("data: "), F.substr("props", F.lit(1), colon), F.lit(" \ndata:"), F.substr("props", colon + 1))
+    data = F.when(F.col("value") < 20, F.lit("data: {not json")).when(kind == "view", cut).otherwise(F.concat(F.lit("data: "), F.col("props")))
+    frame = F.concat(told, F.lit("\nid: 1\n"), data, F.when(F.col("torn"), "\n").otherwise("\n\n"))
+    size = F.length("frame")
+    parts = F.posexplode(F.array(F.substring("frame", 1, 9), F.substr("frame", F.lit(10), size - 10), F.substr("frame", size))).alias("part", "text")
+    return events.select("user_id", "event_id", frame.alias("frame")).select("user_id", "event_id", parts)
+
+
+@query("sse_parse", f"with {_FRAMES_SQL} select user_id, event_type as event, count(*) as frames, sum(case when not bad then cast(json_extract(props, '$.k') as bigint) end)::bigint as total, sum(bad::int)::bigint as broken from f where not torn and event_type <> 'error' group by 1, 2")
 def sse_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-18, A-19, K-07: the frames of each user's stream of chunks, put together over the chunks' ends and taken apart; what is
-    not JSON counts as {}, and a frame that never ends is not told."""
+    """A-18, A-19, K-07: the frames of each user's stream of chunks, put together over the chunks' ends and taken apart: the last event
+    line and all data lines count; frames without an event and one that never ends are not told; what is not JSON counts as {}."""
     found = replayed(_chunks(spark, sf_dir), ["user_id"], ["event_id", "part"], ["text"], frame_step, "frame string, whole boolean", unfinished)
-    frames = found.where("whole").select("user_id", T.sse_field(F.col("frame"), "event").alias("event"), F.try_parse_json(T.sse_field(F.col("frame"), "data")).alias("data"))
+    frames = found.where("whole").select("user_id", T.sse_event(F.col("frame")).alias("event"), F.try_parse_json(T.sse_data(F.col("frame"))).alias("data")).where("event is not null")
     data = F.coalesce("data", F.parse_json(F.lit("{}")))
     return frames.groupBy("user_id", "event").agg(F.count(F.lit(1)).alias("frames"), F.sum(F.try_variant_get(data, "$.k", "bigint")).alias("total"), F.count_if(F.col("data").isNull()).alias("broken"))
 
