@@ -155,7 +155,7 @@ def test_every_node_once(spark):
     def flat(v, path=()):
         yield path, v
         for k, x in v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ():
-            yield from flat(x, (*path, str(k)))
+            yield from flat(x, (*path, k if isinstance(v, dict) else f"[{k}]"))
 
     rows = spark.createDataFrame([(k, json.dumps(d)) for k, d in enumerate(docs)] + [(99, None)], "id int, j string").select("id", F.parse_json("j").alias("d"))
     got = sorted((r["id"], tuple(r["path"]), r["kind"]) for r in V.nodes(rows, "d", ["id"]).collect())
@@ -184,3 +184,35 @@ def test_schema_keys_of_nested_and_odd_schemas(spark):
 def test_no_python_worker(compared):
     plan = compared[0]._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_rebuilt_documents(spark):
+    rng = random.Random(23)
+    docs = [anything(rng, 5) for _ in range(80)] + [{"a\"b\n": {"é": []}, "k": {}}, [{"k": 1, "v": [{"k": 1}, {"k": 1}]}, {"k": 1}, {"k": "1"}], [{"k": 1}, {"v": 1}, {"k": 1}], [[{"k": None}, {"k": None}]]]
+    rows = spark.createDataFrame([(k, json.dumps(d)) for k, d in enumerate(docs)], "id int, j string").select("id", F.parse_json("j").alias("d"))
+    tree = V.nodes(rows, "d", ["id"])
+    again = lambda df: {r["id"]: json.loads(r["doc"]) for r in df.collect()}
+    assert again(V.rebuilt(tree, ["id"])) == dict(enumerate(docs))
+
+    def walk_up(v, visit):
+        v = {k: walk_up(x, visit) for k, x in v.items()} if isinstance(v, dict) else [walk_up(x, visit) for x in v] if isinstance(v, list) else v
+        return visit(v)
+
+    def once(v):
+        if isinstance(v, list) and v and all(isinstance(x, dict) and "k" in x for x in v):
+            return [x for i, x in enumerate(v) if json.dumps(x["k"]) not in {json.dumps(y["k"]) for y in v[:i]}]
+        return v
+
+    assert again(V.rebuilt(tree, ["id"], "k")) == {i: walk_up(d, once) for i, d in enumerate(docs)}
+    keep = lambda f: {i: walk_up(d, lambda v: {k: x for k, x in v.items() if f(k, x)} if isinstance(v, dict) else v) for i, d in enumerate(docs)}
+    assert again(V.rebuilt(V.stripped(tree, ["k", "a"]), ["id"])) == keep(lambda k, x: k not in ("k", "a"))
+    assert again(V.rebuilt(V.projected(tree, ["items", "v", "b"]), ["id"])) == keep(lambda k, x: k in ("items", "v", "b"))
+    assert again(V.rebuilt(V.without_null_members(tree), ["id"])) == keep(lambda k, x: x is not None)
+    assert again(V.rebuilt(V.numbers_for_booleans(tree), ["id"])) == {i: walk_up(d, lambda v: int(v) if isinstance(v, bool) else v) for i, d in enumerate(docs)}
+
+
+def test_titles(spark):
+    docs = [{"f": [{"k": "a"}]}, {"formTitle": "", "titleFieldKey": "t", "f": []}, {"formTitle": "x"}, {"formTitle": None, "f": [{"v": 1}]}, [1], {}]
+    rows = spark.createDataFrame([(k, json.dumps(d)) for k, d in enumerate(docs)], "id int, j string").select("id", F.parse_json("j").alias("d"))
+    got = {r["id"]: json.loads(r["doc"]) for r in V.rebuilt(V.titled(V.nodes(rows, "d", ["id"]), ["id"], "f", "k"), ["id"]).collect()}
+    assert [got[k].get("formTitle") if isinstance(got[k], dict) else got[k] for k in range(6)] == ["$a$", "$t$", "x", "$name$", [1], "$name$"]

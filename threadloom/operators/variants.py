@@ -6,11 +6,12 @@ VARIANT keeps an object's keys in the order of their names, so that is the order
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.stored import stored
 
-NODE = ["path", "depth", "parent", "name", "kind", "value"]
+#: How an element of an array stands in a path.
+PLACE = r"^\[[0-9]+\]$"
 
 
 def members(v: Column) -> Column:
@@ -40,21 +41,23 @@ def _child(label: Column, pos: Column, v: Column) -> Column:
 
 
 def nodes(docs: DataFrame, doc: str, keys: list[str]) -> DataFrame:
-    """Every node of every document: `keys`, path (array of names and places), depth, parent (the kind of the node above), name
-    (null for elements), kind, value (of scalars, as text).
+    """Every node of every document: `keys`, path (names, and places as [0]), depth, parent (the kind of the node above), name
+    (null for elements), kind, value (of scalars, as text), json (of scalars and nulls).
 
     doc: a VARIANT column; documents without one give no rows. Keys need not be unique: rows stay apart where paths do."""
     level = docs.where(F.col(doc).isNotNull()).select(*keys, F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("name"), F.col(doc).alias("v"))
     out, depth = [], 0
     while True:
-        level = stored(level.withColumn("kind", kind(F.col("v"))).withColumn("depth", F.lit(depth)))
+        level = stored(level.withColumn("kind", kind(F.col("v"))))
         value = F.when(~F.col("kind").isin("object", "array", "null"), text_of(F.col("v")))
-        out.append(level.select(*keys, "path", "depth", "parent", "name", "kind", value.alias("value")))
+        json = F.when(~F.col("kind").isin("object", "array"), F.to_json("v"))
+        # The depth is a constant of each part, so a filter on it leaves the other parts out of the plan.
+        out.append(level.select(*keys, "path", F.lit(depth).alias("depth"), "parent", "name", "kind", value.alias("value"), json.alias("json")))
         inner = level.where("kind in ('object', 'array')")
         if inner.isEmpty():
             break
         named = F.transform(F.map_entries(members(F.col("v"))), lambda e: F.struct(e["key"].alias("step"), e["key"].alias("name"), e["value"].alias("v")))
-        placed = F.transform(elements(F.col("v")), lambda x, i: F.struct(i.cast("string").alias("step"), F.lit(None).cast("string").alias("name"), x.alias("v")))
+        placed = F.transform(elements(F.col("v")), lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("step"), F.lit(None).cast("string").alias("name"), x.alias("v")))
         each = inner.select(*keys, "path", F.col("kind").alias("parent"), F.explode(F.when(F.col("kind") == "object", named).otherwise(placed)).alias("c"))
         level = each.select(*keys, F.concat("path", F.array("c.step")).alias("path"), "parent", F.col("c.name").alias("name"), F.col("c.v").alias("v"))
         depth += 1
@@ -64,6 +67,74 @@ def nodes(docs: DataFrame, doc: str, keys: list[str]) -> DataFrame:
     return whole
 
 
+def quoted(text: Column) -> Column:
+    """A text as JSON."""
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def rebuilt(tree: DataFrame, keys: list[str], unique: str | None = None) -> DataFrame:
+    """(`keys`, doc): the documents that nodes make up, as JSON text, from the deepest level up.
+
+    Nodes may have been left out or changed; what lies below a node that is not there goes with it. unique: in arrays of which
+    every element is an object with that key, the first element of each value stays. A level is one aggregate; an array's
+    elements meet in one row, as they do in the document."""
+    deepest = tree.agg(F.max("depth")).first()[0]
+    below = None
+    for depth in range(deepest if deepest is not None else 0, -1, -1):
+        own = tree.where(F.col("depth") == depth).select(*keys, "path", "parent", "name", "kind", "json")
+        own = own.join(below, [*keys, "path"], "left") if below is not None else own.withColumn("inner", F.lit(None).cast("string")).withColumn("mark", F.lit(None).cast("string"))
+        empty = F.when(F.col("kind") == "object", "{}").when(F.col("kind") == "array", "[]")
+        own = own.withColumn("json", F.coalesce(F.when(empty.isNotNull(), F.coalesce("inner", empty)), "json"))
+        if not depth:
+            return own.select(*keys, F.col("json").alias("doc"))
+        index = F.regexp_extract(F.element_at("path", -1), "[0-9]+", 0)
+        child = own.select(*keys, F.expr("slice(path, 1, size(path) - 1)").alias("path"), "parent", "name", "json", F.when(F.col("kind") == "object", F.col("mark")).alias("mark"), F.when(F.col("parent") == "array", index.cast("int")).alias("i"))
+        if unique:
+            again = F.row_number().over(Window.partitionBy(*keys, "path", "mark").orderBy("i"))
+            child = child.withColumn("again", (F.col("parent") == "array") & F.col("mark").isNotNull() & (again > 1))
+        else:
+            child = child.withColumn("again", F.lit(False))
+        listed = F.array_sort(F.collect_list(F.struct("i", "name", "again", F.when(F.col("parent") == "object", F.concat(quoted(F.col("name")), F.lit(":"), "json")).otherwise(F.col("json")).alias("text"))))
+        met = child.groupBy(*keys, "path").agg(F.first("parent").alias("parent"), listed.alias("l"), (F.count("mark") == F.count(F.lit(1))).alias("marked"), F.max(F.when(F.col("name") == unique, F.col("json")) if unique else F.lit(None).cast("string")).alias("mark"))
+        kept = F.when(F.col("marked"), F.filter("l", lambda x: ~x["again"])).otherwise(F.col("l"))
+        text = F.array_join(F.transform(kept, lambda x: x["text"]), ",")
+        box = F.when(F.col("parent") == "object", F.concat(F.lit("{"), text, F.lit("}"))).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+        below = stored(met.select(*keys, "path", box.alias("inner"), "mark"))
+
+
+def projected(tree: DataFrame, allowed: list[str]) -> DataFrame:
+    """J-06: only allowed keys, at every level."""
+    return tree.where(F.forall("path", lambda p: p.isin(allowed) | p.rlike(PLACE)))
+
+
+def stripped(tree: DataFrame, names: list[str]) -> DataFrame:
+    """J-07: without some keys, at every level."""
+    return tree.where(~F.arrays_overlap("path", F.array(*map(F.lit, names))))
+
+
+def without_null_members(tree: DataFrame) -> DataFrame:
+    """J-04: object members that are null go; null elements stay."""
+    return tree.where(F.col("name").isNull() | (F.col("kind") != "null"))
+
+
+def numbers_for_booleans(tree: DataFrame) -> DataFrame:
+    """J-02: 1 and 0 for true and false."""
+    number = F.when(F.col("value") == "true", "1").otherwise("0")
+    return tree.withColumn("json", F.when(F.col("kind") == "boolean", number).otherwise(F.col("json"))).withColumn("kind", F.when(F.col("kind") == "boolean", "number").otherwise(F.col("kind")))
+
+
+def titled(tree: DataFrame, keys: list[str], fields: str, key: str) -> DataFrame:
+    """I-18, J-05: documents without a title get $key$ of their titleFieldKey, else of their first field, else $name$."""
+    at = lambda *path: F.max(F.when(F.col("path") == F.array(*map(F.lit, path)), F.col("value")))
+    said = lambda c: F.nullif(c, F.lit(""))
+    told = tree.groupBy(*keys).agg(at("formTitle").alias("title"), at("titleFieldKey").alias("named"), at(fields, "[0]", key).alias("first"), F.bool_or((F.col("depth") == 0) & (F.col("kind") == "object")).alias("open"))
+    value = F.concat(F.lit("$"), F.coalesce(said(F.col("named")), F.col("first"), F.lit("name")), F.lit("$"))
+    new = told.where(F.col("open") & said(F.col("title")).isNull()).select(*keys, F.array(F.lit("formTitle")).alias("path"), F.lit(1).alias("depth"), F.lit("object").alias("parent"), F.lit("formTitle").alias("name"), F.lit("string").alias("kind"), value.alias("value"), quoted(value).alias("json"))
+    kept = tree.where((F.col("path") != F.array(F.lit("formTitle"))) | (F.coalesce(F.col("value"), F.lit("")) != ""))
+    return kept.unionByName(new)
+
+
 def schema_keys(docs: DataFrame, doc: str, keys: list[str]) -> DataFrame:
     """E-08, H-07: (`keys`, key, n): the names that any `properties` object of a schema declares, however deep, and how often."""
     declared = nodes(docs, doc, keys).where((F.col("parent") == "object") & (F.try_element_at("path", F.lit(-2)) == "properties"))

@@ -49,14 +49,19 @@ def strip_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nested(spark, sf_dir).select("form_id", O.on_json(lambda d: O.strip_keys(d, {"secret", "icon"}))(F.col("doc")).alias("doc"))
 
 
+def unprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with front-end keys, nulls, booleans, repeated keys and an empty title."""
+    child = lambda k, v: F.struct(F.lit(k).alias(O.KEY), F.lit(v).alias("n"), F.lit("i").alias("intro"))
+    field = F.struct(F.concat(F.lit("k"), F.col("field_key").cast("string")).alias(O.KEY), F.col("required").alias("on"), F.lit("x").alias("icon"), F.lit(None).cast("string").alias("none"), F.array(child("c", True), child("d", False), child("c", False)).alias("childFormFieldConfigVo"))
+    return documents(form_fields(spark, sf_dir), field, F.lit("f").alias("formName"), F.lit("").alias("formTitle"), F.lit(True).alias("isSaved"))
+
+
 @query("postprocess_document", f"""with {BASE_SQL}, d as (select form_id, list({{'{O.KEY}': 'k' || field_key, 'on': required::int, 'childFormFieldConfigVo': [{{'{O.KEY}': 'c', 'n': 1}}, {{'{O.KEY}': 'd', 'n': 0}}]}} order by pos) as l, min_by('k' || field_key, pos) as k from base group by form_id)
 select form_id, to_json({{'formName': 'f', '{O.FIELDS}': l, 'formTitle': '$' || k || '$'}})::varchar as doc from d""")
 def postprocess_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-02 to J-05: front-end keys and nulls go, booleans become 0 and 1, repeated keys go in every array of fields (those of
     child forms, too), the title defaults to the first field's key."""
-    child = lambda k, v: F.struct(F.lit(k).alias(O.KEY), F.lit(v).alias("n"), F.lit("i").alias("intro"))
-    field = F.struct(F.concat(F.lit("k"), F.col("field_key").cast("string")).alias(O.KEY), F.col("required").alias("on"), F.lit("x").alias("icon"), F.lit(None).cast("string").alias("none"), F.array(child("c", True), child("d", False), child("c", False)).alias("childFormFieldConfigVo"))
-    docs = documents(form_fields(spark, sf_dir), field, F.lit("f").alias("formName"), F.lit("").alias("formTitle"), F.lit(True).alias("isSaved"))
+    docs = unprocessed(spark, sf_dir)
     fixed = lambda d: (lambda p: {k: p[k] for k in ("formName", O.FIELDS, "formTitle")})(O.postprocess(d))  # noqa: E731  one order of keys
     return docs.select("form_id", O.on_json(fixed)(F.col("doc")).alias("doc"))
 
