@@ -24,14 +24,17 @@ def header_forwarding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("forwarded"))
 
 
-@query("whitelist_intersection", "select o_orderkey as id, case when o_orderkey % 4 = 3 then null else array_to_string(case o_orderkey % 4 when 0 then ['b', 'c'] when 1 then ['a', 'b', 'c'] else ['b', 'c', 'd'] end, ',') end as allowed from orders")
+@query("whitelist_intersection", """with l as (select c_custkey as id, list(o_orderpriority) filter (where o_orderstatus = 'O') as a, list(o_orderpriority) filter (where o_orderstatus = 'F') as b from customer left join orders on o_custkey = c_custkey group by c_custkey)
+select id, array_to_string(list_sort(list_distinct(case when a is null then b when b is null then a else list_intersect(a, b) end)), ',') as allowed from l""")
 def whitelist_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H-01, A-23, I-15: two optional lists; a missing one sets no limit."""
-    k = F.col("o_orderkey") % 4
-    a = F.when(k.isin(0, 1), T.csv_list(F.lit("a, b,,c")))
-    b = F.when(k.isin(0, 2), T.csv_list(F.lit("b,c, d")))
-    both = F.when(a.isNotNull() & b.isNotNull(), F.array_intersect(a, b)).otherwise(F.coalesce(a, b))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(both, ",").alias("allowed"))
+    """H-01, A-23, I-15: two optional lists, written with commas, blanks and gaps; a missing one sets no limit. A customer's lists are
+    the priorities of their open and of their filled orders."""
+    of = lambda s: F.collect_list(F.when(F.col("o_orderstatus") == s, F.col("o_orderpriority")))
+    lists = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(*[F.nullif(F.array_join(of(s), " ,, "), F.lit("")).alias(s) for s in "OF"])
+    a, b = T.csv_list(F.col("O")), T.csv_list(F.col("F"))
+    both = F.when(a.isNotNull() & b.isNotNull(), F.array_intersect(a, b)).otherwise(F.array_distinct(F.coalesce(a, b)))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return customers.join(lists, "id", "left").select("id", F.array_join(F.array_sort(both), ",").alias("allowed"))
 
 
 @query("service_resolution", f"with {CALLS_SQL}, dim(call_type, base) as (values ('click', 'http://a/'), ('view', 'http://b')) select id, case when call_type in ('click', 'error') then coalesce(rtrim(base, '/'), 'http://default') else 'http://default' end as base from calls left join dim using (call_type)")

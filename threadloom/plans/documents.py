@@ -90,25 +90,34 @@ def apply_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base_fields(spark, sf_dir).where("flag <> 'F'").select("form_id", "pos", "field_key")
 
 
-@query("apply_update_form", "select o_orderkey as form_id, case when o_orderkey % 3 = 0 then 'T' || o_orderkey else o_orderpriority end as title, o_orderkey % 3 = 1 as rejected from orders")
-def apply_update_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-12, H-02: a patch with a key that is not on the list is rejected whole."""
-    key = F.col("o_orderkey")
-    patch = F.when(key % 3 == 0, F.create_map(F.lit("title"), F.concat(F.lit("T"), key.cast("string")))).when(key % 3 == 1, F.create_map(F.lit("title"), F.lit("x"), F.lit("owner"), F.lit("y")))
-    illegal = F.array_except(F.map_keys(patch), F.array(F.lit("title"), F.lit("columns")))
-    rejected = F.coalesce(F.size(illegal) > 0, F.lit(False))
-    title = F.coalesce(F.when(~rejected, F.try_element_at(patch, F.lit("title"))), F.col("o_orderpriority"))
-    return table(spark, sf_dir, "orders").select(key.alias("form_id"), title.alias("title"), rejected.alias("rejected"))
+_FORM_PATCH = {1: "title", 2: "columns", 3: "state", 4: "owner", 5: "id"}
 
 
-@query("apply_update_button", "select o_orderkey as form_id, case when o_orderstatus = 'O' then 'top' when o_orderstatus = 'F' then 'bottom' end as patched from orders")
+@query("apply_update_form", f"""with {BASE_SQL}, p as (select form_id, max(case when type_code = 1 then 't' || width end) as title, max(case when type_code = 2 then 't' || width end) as columns,
+  string_agg(distinct case type_code when 4 then 'owner' when 5 then 'id' end, ',' order by case type_code when 4 then 'owner' when 5 then 'id' end) as illegal from base group by form_id)
+select form_id, case when illegal is null then coalesce(title, 'untitled') else 'untitled' end as title, case when illegal is null then coalesce(columns, 'none') else 'none' end as columns, coalesce(illegal, '') as illegal from p""")
+def apply_update_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-12, H-02: a patch with keys that are not on the list is rejected whole, and the keys are told. A form's patch sets what its
+    types of fields name, to the widest."""
+    name = F.try_element_at(F.create_map(*[F.lit(x) for kv in _FORM_PATCH.items() for x in kv]), F.col("type_code"))
+    said = base_fields(spark, sf_dir).groupBy("form_id", name.alias("k")).agg(F.max(F.concat(F.lit("t"), F.col("width").cast("string"))).alias("v"))
+    patch = F.map_from_entries(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v"))))
+    forms = said.groupBy("form_id").agg(patch.alias("patch"))
+    illegal = F.array_sort(F.array_except(F.map_keys("patch"), F.array(F.lit("title"), F.lit("columns"), F.lit("state"))))
+    after = lambda k, default: F.coalesce(F.when(F.size(illegal) == 0, F.try_element_at("patch", F.lit(k))), F.lit(default)).alias(k)
+    return forms.select("form_id", after("title", "untitled"), after("columns", "none"), F.array_join(illegal, ",").alias("illegal"))
+
+
+@query("apply_update_button", f"""with {BASE_SQL}, b as (select form_id, pos, 'b' || (width % 7) as name, flag = 'O' as top, row_number() over (partition by form_id order by flag <> 'O', pos) as place from base),
+w as (select form_id, 'b' || (max(width) filter (where type_code < 5) % 7) as wanted from base group by form_id)
+select w.form_id, wanted, case when arg_min(top, place) then 'top' when not arg_min(top, place) then 'bottom' end as part, arg_min(pos, place) as pos from w left join b on b.form_id = w.form_id and b.name = w.wanted group by w.form_id, wanted""")
 def apply_update_button(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J-13, G-05: the first button of the name, top before bottom."""
-    name = F.when(F.col("o_orderstatus") == "O", "save").when(F.col("o_orderstatus") == "F", "close").otherwise("none")
-    buttons = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(n).alias("name")) for p, n in (("top", "save"), ("top", "print"), ("bottom", "save"), ("bottom", "close"))])
-    hit = F.filter(F.col("buttons"), lambda b: b["name"] == F.col("wanted"))
-    o = table(spark, sf_dir, "orders").withColumn("wanted", name).withColumn("buttons", buttons)
-    return o.select(F.col("o_orderkey").alias("form_id"), F.try_element_at(hit, F.lit(1))["part"].alias("patched"))
+    """J-13, G-05: the first button of the name, top before bottom; none if the form has no such button. Fields stand for buttons."""
+    button = F.struct((F.col("flag") != "O").alias("low"), "pos", F.concat(F.lit("b"), (F.col("width") % 7).cast("string")).alias("name"))
+    wanted = F.concat(F.lit("b"), (F.max(F.when(F.col("type_code") < 5, F.col("width"))) % 7).cast("string"))
+    forms = base_fields(spark, sf_dir).groupBy("form_id").agg(F.array_sort(F.collect_list(button)).alias("buttons"), wanted.alias("wanted"))
+    hit = F.try_element_at(F.filter("buttons", lambda b: b["name"] == F.col("wanted")), F.lit(1))
+    return forms.withColumn("hit", hit).select("form_id", "wanted", F.when(F.col("hit.low"), "bottom").when(~F.col("hit.low"), "top").alias("part"), F.col("hit.pos").alias("pos"))
 
 
 @query("apply_batch_atomic", f"""with {BASE_SQL}, ops as (select form_id, pos as n, case type_code when 1 then 'remove' when 2 then 'update' when 3 then 'add' else 'none' end as op, case when type_code = 3 and not required then field_key else field_key end as k, required from base),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..sources.tables import CALLS_SQL, FIELDS_SQL, call_logs, event_log, form_fields, table
+from ..sources.tables import BASE_SQL, CALLS_SQL, FIELDS_SQL, call_logs, event_log, first_of_each_key, form_fields, table
 from .base import query
 
 # Titles of results that have no name, names shown, hidden keys of a leave record.
@@ -45,13 +45,16 @@ def current_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("form_id", F.concat(F.lit("当前表单「"), name, F.lit("」（"), code, F.lit("），共 "), n, F.lit(" 个字段："), "names", more).alias("description"))
 
 
-@query("leave_record_view", "select event_id, '请假申请 - ' || case when event_id % 5 = 0 then '' else 'u' || user_id end as title, 2 + (event_id % 2 = 0)::int as field_count from events")
+@query("leave_record_view", f"""select o_orderkey as id, '请假申请 - ' || case when o_orderstatus = 'P' then '' else 'u' || o_custkey end as title,
+  1 + (o_orderpriority <> '4-NOT SPECIFIED')::int + (o_totalprice > 100000)::int + (o_totalprice > 200000)::int as field_count from orders""")
 def leave_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-14: a leave record's title and how many of its keys are not internal."""
-    person = F.when(F.col("event_id") % 5 == 0, "").otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string")))
-    record = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, ("applicant", "leaveType", "status", "approvalId", "reason"))), F.array(person, F.col("event_type"), F.lit("draft"), F.lit("7"), F.when(F.col("event_id") % 2 == 0, "rest"))), lambda k, v: v.isNotNull())
+    """E-14: a leave record's title and how many of its keys are not internal; what a record lacks is not there."""
+    price = F.col("o_totalprice")
+    person = F.when(F.col("o_orderstatus") == "P", "").otherwise(F.concat(F.lit("u"), F.col("o_custkey").cast("string")))
+    parts = {"applicant": person, "leaveType": F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority")), "status": F.when(price > 50000, "draft"), "approvalId": F.when(F.col("o_orderstatus") == "F", "7"), "reason": F.when(price > 100000, "rest"), "days": F.when(price > 200000, "3")}
+    record = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, parts)), F.array(*parts.values())), lambda k, v: v.isNotNull())
     shown = F.map_filter("record", lambda k, v: ~k.isin(*HIDDEN))
-    return table(spark, sf_dir, "events").withColumn("record", record).select("event_id", F.concat(F.lit("请假申请 - "), F.element_at("record", F.lit("applicant"))).alias("title"), F.size(shown).alias("field_count"))
+    return table(spark, sf_dir, "orders").withColumn("record", record).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("请假申请 - "), F.element_at("record", F.lit("applicant"))).alias("title"), F.size(shown).alias("field_count"))
 
 
 @query("latest_formatted", "select conv_id, arg_max(text, turn) filter (where role = 'assistant' and turn % 2 = 1) as formatted, max(turn) filter (where role = 'assistant' and turn % 2 = 1) as at from conversations group by conv_id")
@@ -69,13 +72,12 @@ def prompt_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_log(spark, sf_dir).groupBy("conv_id").agg(F.sum(F.coalesce(F.length("content"), F.lit(0))).cast("long").alias("chars"), F.sum(size).cast("long").alias("json_chars"))
 
 
-@query("content_fallback", "select conv_id, turn as seq, case when turn % 3 = 0 then nullif(role, 'system') else nullif(text, '') end as content from conversations")
+@query("content_fallback", "with m as (select conv_id, turn, regexp_extract(text, '^[^.?!]*[.?!]') as first, regexp_replace(text, '^[^.?!]*[.?!]\\s*', '') as rest from conversations) select conv_id, turn as seq, coalesce(nullif(rest, ''), nullif(first, '')) as content from m")
 def content_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I-08: a reply's content, else its reasoning, else nothing; empty counts as missing."""
-    content = F.when(F.col("seq") % 3 == 0, "").otherwise(F.col("content"))
-    reasoning = F.when(F.col("kind") == "system", "").otherwise(F.col("kind"))
-    own = F.coalesce(F.nullif(content, F.lit("")), F.when(F.col("seq") % 3 == 0, F.nullif(reasoning, F.lit(""))))
-    return event_log(spark, sf_dir).select("conv_id", "seq", own.alias("content"))
+    """I-08: a reply's content, else its reasoning, else nothing; empty counts as missing. Here the first sentence of a message is the
+    reasoning and the rest the content, which a message of one sentence lacks."""
+    rest, first = F.regexp_replace("content", r"^[^.?!]*[.?!]\s*", ""), F.regexp_extract("content", r"^[^.?!]*[.?!]", 0)
+    return event_log(spark, sf_dir).select("conv_id", "seq", F.coalesce(F.nullif(rest, F.lit("")), F.nullif(first, F.lit(""))).alias("content"))
 
 
 @query("step_durations", f"with {CALLS_SQL} select id, (epoch_us(created_at) - epoch_us(lag(created_at) over (partition by conv_id order by created_at, id))) // 1000 as ms from calls")
@@ -86,22 +88,27 @@ def step_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return call_logs(spark, sf_dir).select("id", "conv_id", "created_at", us.alias("us")).select("id", F.floor((F.col("us") - F.lag("us").over(by)) / 1000).cast("long").alias("ms"))
 
 
-@query("sorted_keys", "select event_id, case when event_id % 2 = 0 then 'a,k,z' else 'b,k' end as keys from events")
+@query("sorted_keys", f"with {FIELDS_SQL}, d as (select distinct form_id, 'k' || field_key as k from fields) select form_id, string_agg(k, ',' order by k) as keys from d group by form_id")
 def sorted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G-07: an object's keys in order."""
-    k = F.get_json_object("props", "$.k")
-    doc = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"z":1,"k":'), k, F.lit(',"a":[{"c":1}]}'))).otherwise(F.concat(F.lit('{"k":'), k, F.lit(',"b":null}')))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(F.json_object_keys(doc)), ",").alias("keys"))
+    """G-07: an object's keys in order; the object of a form has its fields as keys, in the order of the form."""
+    fields = first_of_each_key(form_fields(spark, sf_dir))
+    pair = F.struct("pos", F.format_string('"k%d": [%d]', "field_key", "width").alias("t"))
+    docs = fields.groupBy("form_id").agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["t"]), ", "), F.lit("}")).alias("doc"))
+    return docs.select("form_id", F.array_join(F.array_sort(F.json_object_keys("doc")), ",").alias("keys"))
 
 
-@query("deep_equality", "select event_id, event_id % 4 < 2 as same from events")
+@query("deep_equality", f"with {BASE_SQL} select form_id, count(*) filter (where type_code = 4) = 0 and (max(width) <= 40 or list(width order by pos) = list(width order by pos desc)) as same from base group by form_id")
 def deep_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I-30: documents are equal whatever the order of their keys and white space; the order of arrays counts."""
-    k, kind = F.get_json_object("props", "$.k"), F.col("event_id") % 4
-    left = F.concat(F.lit('{"a":{"x":1,"y":[1,2]},"k":'), k, F.lit("}"))
-    right = F.when(kind == 0, F.concat(F.lit('{ "k": '), k, F.lit(', "a": {"y": [1, 2], "x": 1}}'))).when(kind == 1, left).when(kind == 2, F.concat(F.lit('{"k":'), k, F.lit(',"a":{"x":1,"y":[2,1]}}'))).otherwise(F.concat(F.lit('{"k":'), k, F.lit("}")))
-    whole = lambda c: F.to_json(F.parse_json(c))  # noqa: E731  a variant keeps its keys in order
-    return table(spark, sf_dir, "events").select("event_id", (whole(left) == whole(right)).alias("same"))
+    """I-30: documents are equal whatever the order of their keys and white space; the order of arrays counts. The second document of
+    a form has its keys the other way round, other values for some types, and, where a field is wide, its list backwards."""
+    fields = first_of_each_key(form_fields(spark, sf_dir))
+    said = lambda w: F.format_string('"k%d":{"w":%d,"p":[%d]}', "field_key", w, "pos")
+    parts = F.struct("pos", said(F.col("width")).alias("a"), said(F.when(F.col("type_code") == 4, F.col("width") + 1).otherwise(F.col("width"))).alias("b"), F.col("width").cast("string").alias("w"))
+    docs = fields.groupBy("form_id").agg(F.array_sort(F.collect_list(parts)).alias("l"), (F.max("width") > 40).alias("wide"))
+    texts = lambda part, l: F.array_join(F.transform(l, lambda x: x[part]), ", ")
+    whole = lambda part, l, list_: F.to_json(F.parse_json(F.concat(F.lit("{ "), texts(part, l), F.lit(',"list":['), texts("w", list_), F.lit("]}"))))  # noqa: E731  a variant keeps its keys in order
+    back = F.reverse("l")
+    return docs.select("form_id", (whole("a", F.col("l"), F.col("l")) == whole("b", back, F.when(F.col("wide"), back).otherwise(F.col("l")))).alias("same"))
 
 
 _PACK_SQL = "packs as (select p_partkey as id, p_name as name, case when p_size % 3 <> 0 then p_type end as kind, p_size, p_brand from part)"
@@ -119,12 +126,18 @@ def pack_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.to_json(manifest).alias("manifest"))
 
 
-@query("enabled_packs", "select o_orderkey as id, case o_orderkey % 3 when 0 then 'chat,form,leave' when 1 then 'form' else '' end as enabled, case o_orderkey % 3 when 1 then 'nope' when 2 then 'x,y' else '' end as unknown from orders")
+_PACKS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
+
+
+@query("enabled_packs", f"""with a as (select c_custkey as id, list(distinct o_orderpriority order by o_orderpriority) filter (where o_orderpriority is not null) as allowed from customer left join orders on o_custkey = c_custkey group by c_custkey)
+select id, array_to_string(case when allowed is null then {list(_PACKS)} else list_filter({list(_PACKS)}, lambda p: list_contains(allowed, p)) end, ',') as enabled,
+  array_to_string(list_filter(coalesce(allowed, []), lambda p: not list_contains({list(_PACKS)}, p)), ',') as unknown from a""")
 def enabled_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C-14: the packs that a list allows, in their own order, and its names that no pack has; no list allows all."""
-    third = F.col("o_orderkey") % 3
-    allowed = F.when(third == 1, F.array(F.lit("form"), F.lit("nope"))).when(third == 2, F.array(F.lit("y"), F.lit("x")))
-    packs = F.array(F.lit("chat"), F.lit("form"), F.lit("leave"))
+    """C-14: the packs that a list allows, in their own order, and its names that no pack has; no list allows all. A customer's list
+    is the priorities of their orders; who has no orders has no list."""
+    lists = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderpriority").alias("allowed"))
+    packs = F.array(*map(F.lit, _PACKS))
     enabled = F.when(F.col("allowed").isNull(), packs).otherwise(F.filter(packs, lambda p: F.array_contains("allowed", p)))
     unknown = F.array_sort(F.array_except(F.coalesce("allowed", F.array().cast("array<string>")), packs))
-    return table(spark, sf_dir, "orders").withColumn("allowed", allowed).select(F.col("o_orderkey").alias("id"), F.array_join(enabled, ",").alias("enabled"), F.array_join(unknown, ",").alias("unknown"))
+    both = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).join(lists, "id", "left")
+    return both.select("id", F.array_join(enabled, ",").alias("enabled"), F.array_join(unknown, ",").alias("unknown"))
