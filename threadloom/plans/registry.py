@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, dispatch, documents, log_writes, op_batches, open_docs, prompts, stateful, stored, texts, trees, values, views  # noqa: F401  they register their queries
+from . import conversations, dispatch, documents, form_rules, log_writes, op_batches, open_docs, prompts, stateful, stored, texts, trees, values, views  # noqa: F401  they register their queries
 from .base import QUERIES, SQL, Query
 
 
