@@ -7,17 +7,18 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import open_documents as O
-from .variants import elements, kind, members, quoted, text_of
+from .variants import elements, members, quoted
 
 
 def at(v: Column, name: str) -> Column:
     """A member of an object; null where there is none, or where the member is null."""
-    found = F.try_element_at(members(v), F.lit(name))
+    found = F.try_variant_get(v, f"$.{name}", "variant")
     return F.when(~F.is_variant_null(found), found)
 
 
 def told(v: Column, name: str, missing: str = "") -> Column:
-    return F.coalesce(text_of(at(v, name)), F.lit(missing))
+    """A member as text."""
+    return F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit(missing))
 
 
 def holds(v: Column) -> Column:
@@ -58,4 +59,4 @@ def cloned(doc: Column, name: Column, code: Column) -> Column:
     mine = lambda given, key, mark: F.coalesce(F.nullif(given, F.lit("")), F.concat(told(doc, key), F.lit(mark)))
     own = {"formCode": mine(code, "formCode", "_copy"), "formName": mine(name, "formName", "(副本)")}
     rest = F.map_filter(members(doc), lambda k, v: ~k.isin(*O.AUDIT_KEYS, *own))
-    return F.to_json(F.map_concat(rest, F.create_map(*[x for k, v in own.items() for x in (F.lit(k), F.parse_json(quoted(v)))])))
+    return F.to_json(F.to_variant_object(F.map_concat(rest, F.create_map(*[x for k, v in own.items() for x in (F.lit(k), F.parse_json(quoted(v)))]))))

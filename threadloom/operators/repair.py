@@ -174,7 +174,7 @@ def repaired(docs: DataFrame, doc: str, keys: list[str], rules: dict, base: str
     listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.to_json("m"), F.to_json("v")).alias("json")))), lambda x: x["json"])
     changed = changed.groupBy(*side).agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("list"))
     rest = F.map_filter(members(F.col("_doc")), lambda k, v: k != O.FIELDS)
-    put = F.to_json(F.map_concat(rest, F.create_map(F.lit(O.FIELDS), F.parse_json("list"))))
+    put = F.to_json(F.to_variant_object(F.map_concat(rest, F.create_map(F.lit(O.FIELDS), F.parse_json("list")))))
     out = whole.where("_side = 0").join(changed, side, "left").join(closed, side, "left")
     out = out.select(*keys, F.when(F.col("list").isNull(), F.to_json("_doc")).otherwise(put).alias("doc"), "errors", "rounds")
     if not base:

@@ -13,19 +13,19 @@ from .base import SQL, query
 @query("catalog_columns", SQL["document_catalog"])
 def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-01: the catalog of each form as one column expression."""
-    told = C.catalog(F.parse_json("doc"), open_docs._NAMES)
-    docs = open_docs._form_docs(spark, sf_dir).withColumn("c", told)
+    docs = open_docs._form_docs(spark, sf_dir).withColumn("v", F.parse_json("doc")).withColumn("c", C.catalog(F.col("v"), open_docs._NAMES))
     return docs.select("form_id", F.col("c.text").alias("catalog"), F.array_join("c.keys", ",").alias("keys"))
 
 
 @query("cloned_columns", """select o_orderkey as form_id, to_json({'formCode': case when o_orderkey % 3 = 0 then 'given' when o_orderstatus = 'P' then '_copy' else 'form' || o_orderkey || '_copy' end,
-  'formName': case when o_orderstatus = 'F' then o_clerk else o_orderpriority || '(副本)' end, 'keep': 1})::varchar as doc from orders""")
+  'formName': case when o_orderstatus = 'F' then 'copy for ' || o_custkey else o_orderpriority || '(副本)' end, 'keep': 1})::varchar as doc from orders""")
 def cloned_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I-17, J-23: copies with a given code, a given name, both or neither; some sources have no code."""
     code = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("form"), F.col("o_orderkey").cast("string")))
     doc = F.to_json(F.struct(F.col("o_orderkey").alias("id"), code.alias("formCode"), F.col("o_orderpriority").alias("formName"), F.lit("t").alias("createTime"), F.lit("u").alias("updateBy"), F.lit(1).alias("keep")))
-    given, name = F.when(F.col("o_orderkey") % 3 == 0, "given"), F.when(F.col("o_orderstatus") == "F", F.col("o_clerk")).otherwise("")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("form_id"), C.cloned(F.parse_json(doc), name, given).alias("doc"))
+    given, name = F.when(F.col("o_orderkey") % 3 == 0, "given"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("copy for "), F.col("o_custkey").cast("string"))).otherwise("")
+    docs = table(spark, sf_dir, "orders").withColumn("doc", F.parse_json(doc))
+    return docs.select(F.col("o_orderkey").alias("form_id"), C.cloned(F.col("doc"), name, given).alias("doc"))
 
 
 @query("repaired_tree", f"""select form_id, rounds, n_errors, case when form_id % 3 = 0 then 0 else n_errors end as n_new, n_styles, modes from ({SQL['validate_repair']})""")
