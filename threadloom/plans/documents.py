@@ -22,14 +22,19 @@ def both_versions(base: DataFrame) -> DataFrame:
     second version of a form, type 4 is removed, type 7 is under another key, and required fields are one wider.
 
     Every field is dealt once, as a row of the old and one of the new version; grouping by key within a form needs no exchange
-    beyond that of the form. flag is that of the new version."""
-    key = F.when(F.col("type_code") == 7, F.col("field_key") + 1000000).otherwise(F.col("field_key"))
+    beyond that of the form. flag is that of the new version. The key that a field of type 7 gets may be another field's: the new
+    version then has two fields of one key, and each is a row beside the old one."""
+    moved = F.coalesce(F.col("type_code") == 7, F.lit(False))
     width = F.when(F.col("required"), F.col("width") + 1).otherwise(F.col("width"))
-    side = lambda k, w, new: F.struct(k.alias("field_key"), w.alias("width"), F.lit(new).alias("is_new"))
-    sides = F.when(F.col("type_code") != 4, F.array(side(F.col("field_key"), F.col("width"), False), side(key, width, True))).otherwise(F.array(side(F.col("field_key"), F.col("width"), False)))
-    rows = base.select("form_id", "flag", F.explode(sides).alias("s")).select("form_id", "flag", "s.*")
-    of = lambda c, new: F.max(F.when(F.col("is_new") == new, F.col(c)))
-    return rows.groupBy("form_id", "field_key").agg(of("width", False).alias("old"), of("width", True).alias("new"), of("flag", True).alias("flag"), F.bool_or(~F.col("is_new")).alias("in_old"), F.bool_or("is_new").alias("in_new"))
+    side = lambda k, w, turn: F.struct(k.alias("field_key"), w.alias("width"), turn.alias("turn"))
+    old = side(F.col("field_key"), F.col("width"), F.lit(0))
+    new = side(F.when(moved, F.col("field_key") + 1000000).otherwise(F.col("field_key")), width, F.when(moved, 2).otherwise(1))
+    rows = base.select("form_id", "flag", F.explode(F.when(F.col("type_code") != 4, F.array(old, new)).otherwise(F.array(old))).alias("s")).select("form_id", "flag", "s.*")
+    # A version has a key once as its own and once as a moved one, no more.
+    of = lambda turn: F.max(F.when(F.col("turn") == turn, F.struct("width", "flag")))
+    met = rows.groupBy("form_id", "field_key").agg(of(0).alias("o"), of(1).alias("own"), of(2).alias("moved"))
+    each = met.select("form_id", "field_key", "o", F.explode_outer(F.array_compact(F.array("own", "moved"))).alias("n"))
+    return each.select("form_id", "field_key", F.col("o.width").alias("old"), F.col("n.width").alias("new"), F.col("n.flag").alias("flag"), F.col("o").isNotNull().alias("in_old"), F.col("n").isNotNull().alias("in_new"))
 
 
 @query("field_catalog", f"with {FIELDS_SQL} select form_id, string_agg('#' || pos || ' ' || field_key || ' | ' || type_code || ' | ' || case when required then 'required' else 'optional' end, chr(10) order by pos) as catalog from fields group by form_id")
