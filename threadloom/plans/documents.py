@@ -223,6 +223,7 @@ def _page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("line_diff")
 def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J-21, J-22, F-09: the rows of the diff of two versions of each page."""
+    linediff.bound_batches(spark)
     diffed = _page_pairs(spark, sf_dir).select("page_id", F.posexplode(linediff.line_diff(F.col("old"), F.col("new"))).alias("line", "d"))
     return diffed.select("page_id", "line", "d.type", "d.old_no", "d.new_no", "d.text")
 
@@ -230,8 +231,9 @@ def line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("line_diff_counts")
 def line_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-04."""
-    d = _page_pairs(spark, sf_dir).select("page_id", linediff.line_diff(F.col("old"), F.col("new")).alias("d"))
-    return d.select("page_id", linediff.count_lines(F.col("d"), "add").alias("added"), linediff.count_lines(F.col("d"), "del").alias("removed"))
+    linediff.bound_batches(spark)
+    d = _page_pairs(spark, sf_dir).select("page_id", linediff.line_counts(F.col("old"), F.col("new")).alias("d"))
+    return d.select("page_id", "d.added", "d.removed")
 
 
 @query("open_documents_batch")
