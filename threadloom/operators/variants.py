@@ -6,6 +6,8 @@ VARIANT keeps an object's keys in the order of their names, so that is the order
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.stored import stored
@@ -40,11 +42,62 @@ def _child(label: Column, pos: Column, v: Column) -> Column:
     return F.struct(label.alias("label"), pos.cast("int").alias("pos"), v.alias("v"))
 
 
-def nodes(docs: DataFrame, doc: str, keys: list[str]) -> DataFrame:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is made once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _kids(v: Column) -> Column:
+    """The members or elements of a container; name is null for elements. Null for a scalar."""
+    named = F.transform(F.map_entries(members(v)), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("v")))
+    placed = F.transform(elements(v), lambda x: F.struct(F.lit(None).cast("string").alias("name"), x.alias("v")))
+    return F.coalesce(named, placed)
+
+
+def _too_deep(kids: Column) -> Column:
+    return F.when(F.size(kids) > 0, F.raise_error(F.lit("a document is deeper than was said")))
+
+
+def _in_row(v: Column, left: int, path: Column, parent: Column, name: Column, depth: int) -> Column:
+    """An array with the node v and all below it, at most `left` levels."""
+
+    def own(k: Column) -> Column:
+        value = F.when(k["kind"].isin("string", "boolean", "number"), F.try_variant_get(v, "$", "string"))
+        json = F.when(~k["kind"].isin("object", "array"), k["json"])
+        return F.array(F.struct(path.alias("path"), F.lit(depth).alias("depth"), parent.alias("parent"), name.alias("name"), k["kind"].alias("kind"), value.alias("value"), json.alias("json")))
+
+    def both(k: Column) -> Column:
+        if not left:
+            return F.when(_too_deep(k["kids"]).isNull(), own(k))
+        step = lambda c, i: F.coalesce(c["name"], F.concat(F.lit("["), i.cast("string"), F.lit("]")))
+        below = F.flatten(F.transform(k["kids"], lambda c, i: _in_row(c["v"], left - 1, F.concat(path, F.array(step(c, i))), k["kind"], c["name"], depth + 1)))
+        return F.when(F.coalesce(F.size(k["kids"]), F.lit(0)) < 1, own(k)).otherwise(F.concat(own(k), below))
+
+    # The kind is told by the children, else by the first letter of the JSON text; so each value is read once.
+    def seen(k: Column) -> Column:
+        full = F.coalesce(F.size(k), F.lit(0)) > 0
+        return let(F.when(~full, F.to_json(v)), lambda t: F.struct(k.alias("kids"), t.alias("json"), F.when(full, F.when(F.get(k, F.lit(0))["name"].isNull(), "array").otherwise("object")).otherwise(F.coalesce(F.try_element_at(letters, F.substring(t, 1, 1)), F.lit("number"))).alias("kind")))
+
+    letters = F.create_map(*[F.lit(x) for kv in {"{": "object", "[": "array", "n": "null", '"': "string", "t": "boolean", "f": "boolean"}.items() for x in kv])
+    return let(let(_kids(v), seen), both)
+
+
+def nodes(docs: DataFrame, doc: str, keys: list[str], deepest: int | None = None) -> DataFrame:
     """Every node of every document: `keys`, path (names, and places as [0]), depth, parent (the kind of the node above), name
     (null for elements), kind, value (of scalars, as text), json (of scalars and nulls).
 
-    doc: a VARIANT column; documents without one give no rows. Keys need not be unique: rows stay apart where paths do."""
+    doc: a VARIANT column; documents without one give no rows. Keys need not be unique: rows stay apart where paths do.
+    deepest: how many levels of containers the documents have at most, if that is known: they are then walked within their row, and a
+    deeper one is an error. Else a level at a time, each stored."""
+    there = docs.where(F.col(doc).isNotNull())
+    if deepest is None:
+        return _by_level(there, doc, keys)
+    none = F.lit(None).cast("string")
+    return there.select(*keys, F.inline(_in_row(F.col(doc), deepest, F.array().cast("array<string>"), none, none, 0)))
+
+
+def _by_level(docs: DataFrame, doc: str, keys: list[str]) -> DataFrame:
+    """The same for documents of any depth: a level is one explode, and is stored."""
     level = docs.where(F.col(doc).isNotNull()).select(*keys, F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("name"), F.col(doc).alias("v"))
     out, depth = [], 0
     while True:
@@ -69,8 +122,48 @@ def nodes(docs: DataFrame, doc: str, keys: list[str]) -> DataFrame:
 
 def quoted(text: Column) -> Column:
     """A text as JSON."""
-    listed = F.to_json(F.array(text))
-    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+    return F.to_json(text.cast("variant"))
+
+
+def rewritten(doc: Column, deepest: int, keep: Callable[[Column, Column], Column], scalar: Callable[[Column], Column] = F.to_json, unique: str | None = None) -> Column:
+    """A VARIANT document as JSON text, put together in one walk: `rebuilt` for rules that see a node alone.
+
+    keep: of a member's name and value, whether it stays, with all below it. scalar: the JSON text of a scalar, null or empty
+    container. unique: in arrays of which every element is an object with that key, the first element of each value stays.
+    deepest: how many levels of containers the document has at most; a deeper one is an error. Every level is a lambda in the last one's,
+    so the analyzer's passes (100) end it between 6 and 9 levels; for more there are `nodes` and `rebuilt`."""
+    text = _rewritten(doc, deepest, keep, scalar, unique)
+    return text["t"] if unique else text
+
+
+def _rewritten(v: Column, left: int, keep: Callable, scalar: Callable, unique: str | None) -> Column:
+    none = F.lit(None).cast("string")
+    result = lambda t, mark=none: F.struct(t.alias("t"), mark.alias("mark")) if unique else t
+    text = lambda r: r["t"] if unique else r
+    label = lambda c: F.coalesce(F.concat(quoted(c["name"]), F.lit(":")), F.lit(""))
+    if not left:
+        return let(_kids(v), lambda k: F.when(_too_deep(k).isNull(), result(scalar(v))))
+
+    def firsts(made: Column) -> Column:
+        by_mark = F.array_sort(F.transform(made, lambda m, i: F.struct(m["r"]["mark"].alias("mark"), i.alias("i"))))
+        one_each = lambda s: F.filter(s, lambda x, j: (j == 0) | (F.get(s, j - 1)["mark"] != x["mark"]))
+        kept = let(by_mark, one_each)
+        return F.transform(F.array_sort(F.transform(kept, lambda x: x["i"])), lambda i: F.get(made, i))
+
+    def closed(k: Column) -> Column:
+        is_object = F.get(k, F.lit(0))["name"].isNotNull()
+        join = lambda made: F.array_join(F.transform(made, lambda m: F.concat(m["label"], text(m["r"]))), ",")
+        inner = lambda c: F.struct(label(c).alias("label"), _rewritten(c["v"], left - 1, keep, scalar, unique).alias("r"))
+        box = lambda t: F.when(is_object, F.concat(F.lit("{"), t, F.lit("}"))).otherwise(F.concat(F.lit("["), t, F.lit("]")))
+        made = F.transform(F.filter(k, lambda c: c["name"].isNull() | F.coalesce(keep(c["name"], c["v"]), F.lit(False))), inner)
+        if not unique:
+            return box(join(made))
+        key = f'"{unique}":'
+        mark = lambda m: F.when(is_object, F.get(F.filter(m, lambda x: x["label"] == key), F.lit(0))["r"]["t"])
+        all_marked = lambda m: ~is_object & F.forall(m, lambda x: x["r"]["mark"].isNotNull())
+        return let(made, lambda m: result(box(join(F.when(all_marked(m), firsts(m)).otherwise(m))), mark(m)))
+
+    return let(_kids(v), lambda k: F.when(F.coalesce(F.size(k), F.lit(0)) < 1, result(scalar(v))).otherwise(closed(k)))
 
 
 def rebuilt(tree: DataFrame, keys: list[str], unique: str | None = None) -> DataFrame:
@@ -124,6 +217,17 @@ def numbers_for_booleans(tree: DataFrame) -> DataFrame:
     return tree.withColumn("json", F.when(F.col("kind") == "boolean", number).otherwise(F.col("json"))).withColumn("kind", F.when(F.col("kind") == "boolean", "number").otherwise(F.col("kind")))
 
 
+def titled_value(doc: Column, fields: str, key: str) -> Column:
+    """`titled` on a VARIANT document."""
+    told = lambda path: F.nullif(F.when(~kind(F.try_variant_get(doc, path, "variant")).isin("object", "array", "null"), F.try_variant_get(doc, path, "string")), F.lit(""))
+    first = F.try_variant_get(doc, f"$.{fields}[0].{key}", "variant")
+    first = F.when(~kind(first).isin("object", "array", "null"), text_of(first))
+    title = F.concat(F.lit("$"), F.coalesce(told("$.titleFieldKey"), first, F.lit("name")), F.lit("$"))
+    rest = F.map_filter(members(doc), lambda k, v: k != "formTitle")
+    new = F.to_variant_object(F.map_concat(rest, F.create_map(F.lit("formTitle"), title.cast("variant"))))
+    return F.when(members(doc).isNotNull() & told("$.formTitle").isNull(), new).otherwise(doc)
+
+
 def titled(tree: DataFrame, keys: list[str], fields: str, key: str) -> DataFrame:
     """I-18, J-05: documents without a title get $key$ of their titleFieldKey, else of their first field, else $name$."""
     at = lambda *path: F.max(F.when(F.col("path") == F.array(*map(F.lit, path)), F.col("value")))
@@ -135,9 +239,9 @@ def titled(tree: DataFrame, keys: list[str], fields: str, key: str) -> DataFrame
     return kept.unionByName(new)
 
 
-def schema_keys(docs: DataFrame, doc: str, keys: list[str]) -> DataFrame:
+def schema_keys(docs: DataFrame, doc: str, keys: list[str], deepest: int | None = None) -> DataFrame:
     """E-08, H-07: (`keys`, key, n): the names that any `properties` object of a schema declares, however deep, and how often."""
-    declared = nodes(docs, doc, keys).where((F.col("parent") == "object") & (F.try_element_at("path", F.lit(-2)) == "properties"))
+    declared = nodes(docs, doc, keys, deepest).where((F.col("parent") == "object") & (F.try_element_at("path", F.lit(-2)) == "properties"))
     return declared.groupBy(*keys, F.col("name").alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
