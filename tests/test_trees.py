@@ -216,3 +216,22 @@ def test_titles(spark):
     rows = spark.createDataFrame([(k, json.dumps(d)) for k, d in enumerate(docs)], "id int, j string").select("id", F.parse_json("j").alias("d"))
     got = {r["id"]: json.loads(r["doc"]) for r in V.rebuilt(V.titled(V.nodes(rows, "d", ["id"]), ["id"], "f", "k"), ["id"]).collect()}
     assert [got[k].get("formTitle") if isinstance(got[k], dict) else got[k] for k in range(6)] == ["$a$", "$t$", "x", "$name$", [1], "$name$"]
+
+
+def test_deep_diff_in_one_pass(spark):
+    """With a known depth all levels are one plan: nothing is stored between them, and the rows are those of the walk by levels."""
+    rng = random.Random(24)
+    docs = []
+    for k in range(150):
+        b = {x: anything(rng, 3) for x in ("items", "a", "b")}
+        docs.append((k, json.dumps(b), json.dumps(changed(rng, b))))
+    docs.append((150, *[json.dumps({"items": [{"k": k, "v": v} for k, v in side]}) for side in ([("p", 1), ("p", 2), ("q", 3)], [("q", 3), ("p", 1), ("p", 2)])]))
+    docs.append((151, *[json.dumps({"items": [{"k": "p", "v": 1}, {"k": "p", "v": 2}]})] * 2))
+    rows = spark.createDataFrame([*docs, (200, None, None)], "id int, b string, a string").select("id", F.parse_json("b").alias("b"), F.parse_json("a").alias("a"))
+    diff = lambda deepest: V.deep_diff(rows, "b", "a", ["id"], {"items": "k", "a": "k", "*": "k"}, "t", deepest)
+    told = lambda df: sorted(map(repr, df.select("id", "at", "kind", "path", "owner", F.to_json("old"), F.to_json("new")).collect()))
+    whole = diff(7)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    assert told(whole) == told(diff(None)) and len(told(whole)) > 100
+    with pytest.raises(Exception, match="deeper than was said"):
+        diff(1).collect()

@@ -257,27 +257,94 @@ def _shown(v: Column, display: str | None) -> Column:
     return text_of(F.try_element_at(members(v), F.lit(display))) if display else F.lit(None).cast("string")
 
 
-def _children(v: Column) -> Column:
-    """Children with the label by which they are aligned; mode and key say how (see deep_diff)."""
-    named = F.transform(F.map_entries(members(v)), lambda e, i: _child(e["key"], i, e["value"]))
-    placed = lambda label: F.transform(elements(v), lambda x, i: _child(label(i), i, x))
-    keyed = F.filter(F.transform(elements(v), lambda x, i: _child(text_of(F.try_element_at(members(x), F.col("key"))), i, x)), lambda c: c["label"].isNotNull())
-    as_keys, by_place = placed(lambda i: i.cast("string")), placed(lambda i: F.concat(F.lit("["), i.cast("string"), F.lit("]")))
-    return F.when(F.col("mode") == "keyed", keyed).when(F.col("mode") == "placed", by_place).when(kind(v) == "object", named).otherwise(as_keys)
+def _member_text(v: Column, name: str) -> Column:
+    """A member of an object as text; null for what has none."""
+    if set(name) & set("\"\\"):
+        return text_of(F.try_element_at(members(v), F.lit(name)))
+    return text_of(F.try_variant_get(v, f'$["{name}"]', "variant"))
 
 
 def _judged(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of values: `walk` where both are containers, `modify` where they differ, nothing where they are the same."""
-    b, a = F.col("b"), F.col("a")
-    pairs = pairs.withColumn("kb", kind(b)).withColumn("ka", kind(a))
+    """Pairs of values: change is `walk` where both are containers, `modify` where they differ, null where they are the same.
+
+    Each value is written out once; its kind is told by the first letter. What reads the same and holds no array, whose elements may share
+    an identity, is the same."""
+    pairs = pairs.select("*", F.to_json("b").alias("jb"), F.to_json("a").alias("ja"))
+    letters = F.create_map(*[F.lit(x) for kv in {"{": "object", "[": "array", "n": "null", "t": "boolean", "f": "boolean"}.items() for x in kv])
+    told = lambda j, v: F.when(F.substring(j, 1, 1) == '"', F.when(F.schema_of_variant(v) == "STRING", "string").otherwise("number")).otherwise(F.coalesce(F.try_element_at(letters, F.substring(j, 1, 1)), F.when(j.isNotNull(), F.lit("number"))))
+    pairs = pairs.select("*", told(F.col("jb"), F.col("b")).alias("kb"), told(F.col("ja"), F.col("a")).alias("ka"))
     boxed = F.col("kb").isin("object", "array") & F.col("ka").isin("object", "array")
+    same_text = (F.col("jb") == F.col("ja")) & ~F.contains("jb", F.lit("["))
     number = lambda v: F.try_variant_get(v, "$", "double")
-    same = F.when(F.col("kb") != F.col("ka"), False).when(F.col("kb") == "number", number(b) == number(a)).otherwise(text_of(b) == text_of(a))
-    change = F.when(F.col("change") != "walk", F.col("change")).when(boxed, "walk").when(~F.coalesce(same, F.col("kb").isNull() & F.col("ka").isNull()), "modify")
-    return pairs.withColumn("change", change).where("change is not null").select(*keys, "at", "path", "owner", "change", "kb", "ka", "b", "a")
-
-
-def deep_diff(docs: DataFrame, before: str, after: str, keys: list[str], identity: dict[str, str] | None = None, display: str | None = None) -> DataFrame:
+    same = F.when(F.col("kb") != F.col("ka"), False).when(F.col("kb") == "number", number(F.col("b")) == number(F.col("a"))).otherwise(F.col("jb") == F.col("ja"))
+    change = F.when(F.col("change") != "walk", F.col("change")).when(boxed & same_text, None).when(boxed, "walk").when(~F.coalesce(same, F.col("kb").isNull() & F.col("ka").isNull()), "modify")
+    # A last pair of empty containers has nothing below it.
+    bare = F.coalesce(F.col("jb").isin("{}", "[]") & F.col("ja").isin("{}", "[]"), F.lit(False))
+    return pairs.select(*keys, "at", "path", "owner", change.alias("change"), "kb", "ka", "b", "a", bare.alias("bare"))
+
+
+def _pairs(identities: list[str]) -> Column:
+    """What lies below a pair of containers: an array of (label, o, p, b, a), o the old one's place, p that of the first new one.
+
+    Where both sides have the same labels they are taken as they stand; else the labels of both are sorted together and cut where they
+    change, so nothing is compared in pairs."""
+    by = lambda e, k: F.when(F.col("key") == k, F.transform(e, lambda x: _member_text(x, k)))
+    keyed = lambda e: F.coalesce(*[by(e, k) for k in identities], F.lit(None).cast("array<string>"))
+    placed = lambda e: F.transform(e, lambda x, i: F.concat(F.lit("["), i.cast("string"), F.lit("]")))
+    as_keys = lambda e: F.transform(e, lambda x, i: i.cast("string"))
+    names = lambda e: F.when(F.col("mode") == "keyed", keyed(e)).when(F.col("mode") == "placed", placed(e)).otherwise(as_keys(e))
+    box = lambda n, v: F.struct(n.alias("n"), v.alias("v"))
+    side = lambda v, k: F.when(F.col(k) == "object", let(members(F.col(v)), lambda m: box(F.map_keys(m), F.map_values(m)))).otherwise(let(elements(F.col(v)), lambda e: box(names(e), e)))
+    mark = lambda n, s: F.transform(n, lambda x, i: F.struct(x.alias("label"), F.lit(s).alias("s"), (i if s else -i).alias("p")))
+
+    def group(g: Column, b: Column, a: Column) -> Column:
+        """Of one label: the new ones, the last of them first, then the old ones."""
+        head = F.get(g, F.lit(0))
+        last = F.when(head["s"] == 0, F.get(a, -head["p"]))
+        one = lambda o, p, v: F.struct(head["label"].alias("label"), o.cast("int").alias("o"), p.cast("int").alias("p"), v.alias("b"), last.alias("a"))
+        none = F.lit(None)
+        first = F.get(F.filter(g, lambda x: x["s"] == 0), F.size(g) - 1)["p"]
+        return F.when(F.element_at(g, -1)["s"] == 0, F.array(one(none, -first, none.cast("variant")))).otherwise(F.transform(F.filter(g, lambda x: x["s"] == 1), lambda x: one(x["p"], none, F.get(b, x["p"]))))
+
+    def met(x: Column) -> Column:
+        b, a = x["b"]["v"], x["a"]["v"]
+        order = F.sort_array(F.filter(F.concat(mark(x["a"]["n"], 0), mark(x["b"]["n"], 1)), lambda m: m["label"].isNotNull()))
+
+        def cut(s: Column) -> Column:
+            starts = F.filter(F.transform(s, lambda m, i: i), lambda i: (i == 0) | (F.get(s, i - 1)["label"] != F.get(s, i)["label"]))
+            return let(starts, lambda st: F.flatten(F.transform(st, lambda i, k: let(F.slice(s, i + 1, F.coalesce(F.get(st, k + 1), F.size(s)) - i), lambda g: group(g, b, a)))))
+
+        names_ = x["b"]["n"]
+        alike = (names_ == x["a"]["n"]) & ((F.col("mode") != "keyed") | (F.size(F.array_distinct(F.array_compact(names_))) == F.size(names_)))
+        straight = F.transform(names_, lambda n, i: F.struct(n.alias("label"), i.alias("o"), F.lit(None).cast("int").alias("p"), F.get(b, i).alias("b"), F.get(a, i).alias("a")))
+        return F.when(alike, straight).otherwise(let(order, cut))
+
+    return let(F.struct(side("b", "kb").alias("b"), side("a", "ka").alias("a")), met)
+
+
+def _below(level: DataFrame, keys: list[str], identity: dict[str, str], display: str | None) -> DataFrame:
+    """The pairs below each `walk`, judged; other changes stay as they are."""
+    hints = F.create_map(*[F.lit(x) for kv in (identity or {"": ""}).items() for x in kv])
+    arrays = (F.col("kb") == "array") & (F.col("ka") == "array")
+    key = F.when((F.col("change") == "walk") & arrays, F.coalesce(F.try_element_at(hints, hint_path(F.col("path"))), F.try_element_at(hints, F.col("path"))))
+    ways = level.withColumn("key", key).withColumn("mode", F.when(~arrays, "object").when(F.col("key").isNotNull(), "keyed").otherwise("placed"))
+    none = lambda kind: F.lit(None).cast(kind)
+    self_ = F.struct(none("string").alias("label"), none("int").alias("o"), none("int").alias("p"), F.col("b"), F.col("a"))
+    made = F.when(F.col("change") == "walk", _pairs(sorted(set(identity.values())))).when(F.col("change").isNotNull(), F.array(self_))
+    each = ways.select(*keys, "at", "path", "owner", "mode", F.col("change").alias("was"), F.inline(made))
+    inner, new, gone = F.col("was") == "walk", F.col("o").isNull(), F.col("a").isNull()
+    placed, keyed = F.col("mode") == "placed", F.col("mode") == "keyed"
+    change = F.when(~inner, F.col("was")).when(new, "add").when(gone & ~placed, "remove").otherwise("walk")
+    # Removals, additions and pairs of an array one after the other; of an object the old keys, then the new ones.
+    turn = F.when(new, 1).when(~gone & (placed | keyed) | gone & placed, 2).otherwise(0)
+    at = F.when(inner, F.concat("at", F.array((turn * (1 << 28) + F.coalesce("o", "p")).cast("int")))).otherwise(F.col("at"))
+    path = F.when(~inner, F.col("path")).when(placed | keyed, F.concat("path", F.lit("["), "label", F.lit("]"))).when(F.col("path") == "", F.col("label")).otherwise(F.concat_ws(".", "path", "label"))
+    shown = lambda v: _member_text(F.col(v), display) if display else none("string")
+    owner = F.when(~inner | ~(placed | keyed), F.col("owner")).when(new, F.coalesce(shown("a"), F.col("owner"))).when(gone & ~placed, F.coalesce(shown("b"), F.col("owner"))).otherwise(F.coalesce(shown("b"), shown("a"), F.col("label")))
+    return _judged(each.select(*keys, at.alias("at"), path.alias("path"), owner.alias("owner"), change.alias("change"), "b", "a"), keys)
+
+
+def deep_diff(docs: DataFrame, before: str, after: str, keys: list[str], identity: dict[str, str] | None = None, display: str | None = None, deepest: int | None = None) -> DataFrame:
     """J-19: what changed between two VARIANT documents: `keys`, at, kind (add, remove, modify), path, owner, old, new (VARIANT).
 
     Objects are aligned by key; arrays whose path (labels as `*`) is in `identity` by that key of their elements, others by
@@ -286,38 +353,24 @@ def deep_diff(docs: DataFrame, before: str, after: str, keys: list[str], identit
     removed subtree is one row. owner: the display name, or else the label, of the array element that a change lies in; an
     added or removed element is its own, if it has a name. Values of two types are modified as a whole, but an array and an
     object are compared key by key; numbers are compared as doubles. at: rows of a document in this order are in the order of a
-    walk (of an array removals, then additions, then pairs). Two missing documents give nothing; keys must be unique."""
-    hints = F.create_map(*[F.lit(x) for kv in (identity or {"": ""}).items() for x in kv])
+    walk (of an array removals, then additions, then pairs). Two missing documents give nothing; keys must be unique.
+    deepest: how many levels of containers both documents have in common at most, if that is known: all levels are then one pass, nothing is
+    stored, and deeper ones are an error. Else each level is stored."""
     first = docs.select(*keys, F.array().cast("array<int>").alias("at"), F.lit("").alias("path"), F.lit(None).cast("string").alias("owner"), F.lit("walk").alias("change"), F.col(before).alias("b"), F.col(after).alias("a"))
-    level, out = stored(_judged(first, keys)), []
+    level, told = _judged(first, keys), F.when(F.col("path") == "", "$").otherwise(F.col("path"))
+    as_told = lambda rows: rows.select(*keys, "at", F.col("change").alias("kind"), told.alias("path"), "owner", F.col("b").alias("old"), F.col("a").alias("new"))
+    if deepest is not None:
+        for _ in range(deepest):
+            level = _below(level, keys, identity or {}, display)
+        deeper = F.when(~F.col("bare"), F.raise_error(F.lit("a document is deeper than was said")))
+        return as_told(level.withColumn("change", F.when(F.col("change") == "walk", deeper.cast("string")).otherwise(F.col("change"))).where("change is not null"))
+    level, out = stored(level.where("change is not null")), []
     while True:
-        told = F.when(F.col("path") == "", "$").otherwise(F.col("path"))
-        out.append(level.where("change <> 'walk'").select(*keys, "at", F.col("change").alias("kind"), told.alias("path"), "owner", F.col("b").alias("old"), F.col("a").alias("new")))
+        out.append(as_told(level.where("change <> 'walk'")))
         open_ = level.where("change = 'walk'")
         if open_.isEmpty():
             break
-        arrays = (F.col("kb") == "array") & (F.col("ka") == "array")
-        key = F.when(arrays, F.coalesce(F.try_element_at(hints, hint_path(F.col("path"))), F.try_element_at(hints, F.col("path"))))
-        ways = open_.withColumn("key", key).withColumn("mode", F.when(~arrays, "object").when(F.col("key").isNotNull(), "keyed").otherwise("placed"))
-        side = lambda v: ways.select(*keys, "at", "path", "owner", "mode", F.explode(_children(F.col(v))).alias("c"), F.lit(v).alias("side"))
-        rows = side("b").unionByName(side("a")).select(*keys, "at", "path", "owner", "mode", "c.label", "c.pos", "c.v", "side")
-        only = lambda s, x: F.when(F.col("side") == s, x)
-        met = rows.groupBy(*keys, "at", "path", "owner", "mode", "label").agg(
-            F.collect_list(only("b", F.struct("pos", "v"))).alias("bs"),
-            F.max_by(only("a", F.struct("v")), only("a", F.col("pos"))).alias("last"),
-            F.min(only("a", F.col("pos"))).alias("place"),
-        )
-        each = met.select("*", F.explode_outer("bs").alias("o")).withColumn("b", F.col("o.v")).withColumn("a", F.col("last.v"))
-        gone, new = F.col("o").isNotNull() & F.col("last").isNull(), F.col("o").isNull()
-        placed, keyed = F.col("mode") == "placed", F.col("mode") == "keyed"
-        change = F.when(new, "add").when(gone & ~placed, "remove").otherwise("walk")
-        # Removals, additions and pairs of an array one after the other; of an object the old keys, then the new ones.
-        turn = F.when(new, 1).when(~gone & (placed | keyed) | gone & placed, 2).otherwise(0)
-        at = F.concat("at", F.array((turn * (1 << 28) + F.coalesce("o.pos", "place")).cast("int")))
-        path = F.when(placed | keyed, F.concat("path", F.lit("["), "label", F.lit("]"))).when(F.col("path") == "", F.col("label")).otherwise(F.concat_ws(".", "path", "label"))
-        b, a = F.col("b"), F.col("a")
-        owner = F.when(~(placed | keyed), F.col("owner")).when(change == "remove", F.coalesce(_shown(b, display), F.col("owner"))).when(change == "add", F.coalesce(_shown(a, display), F.col("owner"))).otherwise(F.coalesce(_shown(b, display), _shown(a, display), F.col("label")))
-        level = stored(_judged(each.select(*keys, at.alias("at"), path.alias("path"), owner.alias("owner"), change.alias("change"), "b", "a"), keys))
+        level = stored(_below(open_, keys, identity or {}, display).where("change is not null"))
     whole = out[0]
     for part in out[1:]:
         whole = whole.unionByName(part)
