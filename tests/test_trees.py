@@ -235,3 +235,4 @@ def test_deep_diff_in_one_pass(spark):
     assert told(whole) == told(diff(None)) and len(told(whole)) > 100
     with pytest.raises(Exception, match="deeper than was said"):
         diff(1).collect()
+    assert V.change_lines(whole, ["id"], "t")._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1  # the changes are made once

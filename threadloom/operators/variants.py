@@ -394,9 +394,11 @@ def change_lines(changes: DataFrame, keys: list[str], item_label: str = "name")
     prop = F.element_at(F.split("path", r"\."), -1)
     said = F.when(F.col("old").isNotNull() & F.col("new").isNotNull(), F.concat(prop, F.lit(": "), shown_value(F.col("old")), F.lit(" → "), shown_value(F.col("new")))).otherwise(F.concat(prop, F.lit(" 变更")))
     named = changes.select(*keys, "at", "kind", label.alias("label"), F.when(F.col("kind") == "modify", said).alias("said"))
-    listed = F.array_sort(F.collect_list(F.struct("at", "said")))
+    # One aggregate for all, so that the changes are made once: modifications meet by label, other changes stay apart by place.
+    modified, turn = F.col("kind") == "modify", F.when(F.col("kind") == "modify", 0).when(F.col("kind") == "add", 1).otherwise(2)
+    listed = F.sort_array(F.collect_list(F.struct("at", "said")))
     first = F.concat(F.array_join(F.transform(F.slice(listed, 1, 3), lambda x: x["said"]), "；"), F.when(F.count(F.lit(1)) > 3, " 等").otherwise(""))
-    changed = named.where("kind = 'modify'").groupBy(*keys, "label").agg(F.min("at").alias("at"), first.alias("said")).select(*keys, F.lit(0).alias("turn"), "at", F.concat(F.lit("修改「"), "label", F.lit("」："), "said").alias("text"))
-    verb = F.when(F.col("kind") == "add", "新增「").otherwise("删除「")
-    whole = named.where("kind <> 'modify'").select(*keys, F.when(F.col("kind") == "add", 1).otherwise(2).alias("turn"), "at", F.concat(verb, "label", F.lit("」")).alias("text"))
-    return changed.unionByName(whole)
+    met = named.groupBy(*keys, turn.alias("turn"), "label", F.when(~modified, F.col("at")).alias("place")).agg(F.min("at").alias("at"), first.alias("said"))
+    verb = F.when(F.col("turn") == 1, "新增「").otherwise("删除「")
+    text = F.when(F.col("turn") == 0, F.concat(F.lit("修改「"), "label", F.lit("」："), "said")).otherwise(F.concat(verb, "label", F.lit("」")))
+    return met.select(*keys, "turn", "at", text.alias("text"))
