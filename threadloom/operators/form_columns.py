@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import open_documents as O
-from .variants import elements, members, quoted
+from .variants import let, members, quoted
 
 
 def at(v: Column, name: str) -> Column:
@@ -32,25 +32,33 @@ def catalog(doc: Column, type_names: dict[str, str] | None = None) -> Column:
 
     Elements of the field array that are no objects are read as fields without a key, a title or a type."""
     names = F.create_map(*[F.lit(x) for kv in (type_names or {"": ""}).items() for x in kv])
+    # Everything is read in one pass over the document; a member of another shape than said is null.
+    field = f"struct<`{O.KEY}`:string,`{O.TITLE}`:string,`{O.TYPE}`:string,`{O.REQUIRED}`:variant,`{O.OPTIONS}`:variant,options:array<variant>>"
+    button = "array<struct<buttonName:string>>"
+    shape = f"struct<`{O.FIELDS}`:array<{field}>,{','.join(f'`{k}`:variant' for k in O.CATALOG_KEYS)},{','.join(f'`{p}`:{button}' for p in O.BUTTON_PARTS)}>"
+    none, there = F.array().cast("array<string>"), lambda v: F.when(~F.is_variant_null(v), v)
 
     def line(f: Column, n: Column) -> Column:
-        code, settings = told(f, O.TYPE, "?"), at(f, O.OPTIONS)
-        listed = F.coalesce(elements(at(settings, "optionFields")), elements(at(f, "options")))
-        shown = F.when(F.size(listed) > 0, F.concat(F.lit(" | 选项:"), F.substring(F.coalesce(F.to_json(settings), F.lit("null")), 1, O.OPTION_CHARS))).otherwise("")
-        needed = F.when(holds(at(f, O.REQUIRED)), "必填").otherwise("可选")
-        return F.concat(F.lit("#"), (n + 1).cast("string"), F.lit(" "), told(f, O.KEY), F.lit(" | "), told(f, O.TITLE), F.lit(" | "), F.coalesce(F.try_element_at(names, code), code), F.lit(" | "), needed, shown)
-
-    fields = F.coalesce(elements(at(doc, O.FIELDS)), F.array().cast("array<variant>"))
-    own = F.array_compact(F.array(*[F.concat(quoted(F.lit(k)), F.lit(": "), F.to_json(at(doc, k))) for k in O.CATALOG_KEYS]))
-    form = F.when(F.size(own) > 0, F.concat(F.lit("表单属性: {"), F.array_join(own, ", "), F.lit("}")))
-    part = {p: F.coalesce(F.transform(elements(at(doc, p)), lambda b: told(b, "buttonName")), F.array().cast("array<string>")) for p in O.BUTTON_PARTS}
-    shown = [F.concat(F.lit(f"{p.removesuffix('Buttons')}=["), F.array_join(F.transform(names_, quoted), ", "), F.lit("]")) for p, names_ in part.items()]
-    any_name = F.size(F.concat(*part.values())) > 0
-    buttons = F.when(any_name, F.concat(F.lit("按钮: "), F.concat_ws(" ", *shown)))
-    head = F.lit("## 字段目录（key 是唯一定位锚点，指令里必须原样抄写）")
-    text = F.array_join(F.concat(F.array(head), F.transform(fields, line), F.array_compact(F.array(form, buttons))), "\n")
-    keys = F.filter(F.transform(fields, lambda f: told(f, O.KEY)), lambda k: k != "")
-    return F.when(members(doc).isNotNull(), F.struct(text.alias("text"), keys.alias("keys")))
+        code, settings = F.coalesce(f[O.TYPE], F.lit("?")), f[O.OPTIONS]
+        listed = F.coalesce(F.try_variant_get(settings, "$.optionFields", "array<variant>"), f["options"])
+        shown = F.when(F.size(listed) > 0, F.concat(F.lit(" | 选项:"), F.substring(F.coalesce(F.to_json(there(settings)), F.lit("null")), 1, O.OPTION_CHARS))).otherwise("")
+        needed = F.when(holds(f[O.REQUIRED]), "必填").otherwise("可选")
+        numbered = F.array_join(F.array(F.lit("#"), (n + 1).cast("string"), F.lit(" "), F.coalesce(f[O.KEY], F.lit(""))), "")
+        return F.array_join(F.array(numbered, F.coalesce(f[O.TITLE], F.lit("")), let(code, lambda c: F.coalesce(F.try_element_at(names, c), c)), F.array_join(F.array(needed, shown), "")), " | ")
+
+    def told_of(d: Column) -> Column:
+        fields = F.coalesce(d[O.FIELDS], F.array())
+        own = F.array_compact(F.array(*[F.concat(F.lit(f'"{k}": '), F.to_json(there(d[k]))) for k in O.CATALOG_KEYS]))
+        form = let(own, lambda o: F.when(F.size(o) > 0, F.concat(F.lit("表单属性: {"), F.array_join(o, ", "), F.lit("}"))))
+        part = {p: F.coalesce(F.transform(d[p], lambda b: F.coalesce(b["buttonName"], F.lit(""))), none) for p in O.BUTTON_PARTS}
+        shown = [F.concat(F.lit(f"{p.removesuffix('Buttons')}=["), F.array_join(F.transform(names_, quoted), ", "), F.lit("]")) for p, names_ in part.items()]
+        buttons = F.when(F.size(F.concat(*part.values())) > 0, F.concat(F.lit("按钮: "), F.concat_ws(" ", *shown)))
+        head = F.lit("## 字段目录（key 是唯一定位锚点，指令里必须原样抄写）")
+        text = F.array_join(F.concat(F.array(head), F.transform(fields, line), F.array_compact(F.array(form, buttons))), "\n")
+        keys = F.filter(F.transform(fields, lambda f: f[O.KEY]), lambda k: k != "")
+        return F.struct(text.alias("text"), keys.alias("keys"))
+
+    return let(F.try_variant_get(doc, "$", shape), lambda d: F.when(d.isNotNull(), told_of(d)))
 
 
 def cloned(doc: Column, name: Column, code: Column) -> Column:
