@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import open_documents as O
+from .variants import let
 
 FIELD = "struct<key:string,title:string,type:int,values:map<string,string>>"
 BUTTON = "struct<part:string,name:string,values:map<string,string>>"
@@ -35,8 +36,8 @@ def _named(text: Column) -> Column:
 
 def place(fields: Column, key: Column, title: Column) -> Column:
     """Where (from 1) the field with this key is, else the one with this title; the first of several, 0 for none."""
-    at = lambda name, wanted: F.when(_named(wanted), F.coalesce(F.array_position(F.transform(fields, lambda f: f[name]), wanted), F.lit(0))).otherwise(0)
-    return F.when(at("key", key) > 0, at("key", key)).otherwise(at("title", title)).cast("int")
+    at = lambda name, wanted: F.when(_named(wanted), F.coalesce(F.array_position(fields[name], wanted), F.lit(0))).otherwise(0)
+    return let(at("key", key), lambda p: F.when(p > 0, p).otherwise(at("title", title))).cast("int")
 
 
 def _merged(values: Column, patch: Column) -> Column:
@@ -47,12 +48,13 @@ def _patched(field: Column, patch: Column) -> Column:
     """A field with a patch on it; names of its own columns set those."""
     own = lambda name, old: F.when(F.map_contains_key(patch, F.lit(name)), F.try_element_at(patch, F.lit(name))).otherwise(old)
     rest = F.map_filter(patch, lambda k, v: ~k.isin(O.KEY, O.TITLE, O.TYPE))
-    return F.struct(own(O.KEY, field["key"]).alias("key"), own(O.TITLE, field["title"]).alias("title"), own(O.TYPE, field["type"].cast("string")).cast("int").alias("type"), _merged(field["values"], rest).alias("values")).cast(FIELD)
+    return F.struct(own(O.KEY, field["key"]).alias("key"), own(O.TITLE, field["title"]).alias("title"), own(O.TYPE, field["type"].cast("string")).cast("int").alias("type"), _merged(field["values"], rest).alias("values"))
 
 
 def _with(state: Column, **changed: Column) -> Column:
     names = [x.split(":")[0] for x in ("fields:", "form:", "buttons:", "failures:", "touched:", "touched_form:", "notes:", "rewrite:", "n:")]
-    return F.struct(*[changed.get(k, state[k]).alias(k) for k in names]).cast(_STATE)
+    # Not cast: the types are those of the state, and a cast would write all fields and buttons anew with each op.
+    return F.struct(*[changed.get(k, state[k]).alias(k) for k in names])
 
 
 def _step(templates: Column):
@@ -60,38 +62,37 @@ def _step(templates: Column):
         number = s["n"] + 1
         fails = lambda why, kind=None: _with(s, n=number, failures=F.array_append(s["failures"], F.concat(F.lit("#"), number.cast("string"), F.lit(f" {kind}: " if kind else " "), why)))
         done = lambda **c: _with(s, n=number, **c)
-        fields, at = s["fields"], place(s["fields"], o["key"], o["title"])
+        fields = s["fields"]
+        placed = lambda body: let(place(fields, o["key"], o["title"]), body)
         lost = _say(O.NO_FIELD, _repr(o["key"]), _repr(o["title"]))
         bare = F.coalesce(F.size(o["patch"]) < 1, F.lit(True))
 
         held = F.map_contains_key(o["patch"], F.lit(O.KEY)) & ~F.try_element_at(o["patch"], F.lit(O.KEY)).eqNullSafe(o["key"])
         patch = F.map_filter(o["patch"], lambda k, v: (k != O.KEY) | ~held)
         noted = F.when(held, F.array_append(s["notes"], _say(O.KEPT_KEY, _repr(o["key"])))).otherwise(s["notes"])
-        new = _patched(F.get(fields, at - 1), patch)
-        update = F.when(at == 0, fails(lost, "update_field")).when(bare, fails(F.lit(O.NO_PATCH), "update_field")).when(F.size(patch) == 0, done(notes=noted)).otherwise(done(notes=noted, fields=F.transform(fields, lambda f, i: F.when(i == at - 1, _patched(f, patch)).otherwise(f)), touched=F.array_append(s["touched"], F.coalesce(new["key"], F.lit("")))))
+        updated = lambda at, patch: (lambda new: F.when(at == 0, fails(lost, "update_field")).when(bare, fails(F.lit(O.NO_PATCH), "update_field")).when(F.size(patch) == 0, done(notes=noted)).otherwise(done(notes=noted, fields=F.transform(fields, lambda f, i: F.when(i == at - 1, _patched(f, patch)).otherwise(f)), touched=F.array_append(s["touched"], F.coalesce(new["key"], F.lit(""))))))(_patched(F.get(fields, at - 1), patch))
+        update = placed(lambda at: let(patch, lambda p: updated(at, p)))
 
         f = o["field"]
         model = F.get(F.filter(fields, lambda x: x["type"].eqNullSafe(f["type"])), F.lit(0))
         taken = F.map_filter(model["values"], lambda k, v: ~k.isin(*OWN_VALUES))
         base = F.when(model.isNotNull(), taken).otherwise(F.try_element_at(templates, f["type"]))
         none = F.create_map().cast("map<string,string>")
-        fresh = F.struct(f["key"].alias("key"), f["title"].alias("title"), f["type"].alias("type"), _merged(base, F.coalesce(f["values"], none)).alias("values")).cast(FIELD)
+        fresh = F.struct(f["key"].alias("key"), f["title"].alias("title"), f["type"].alias("type"), _merged(base, F.coalesce(f["values"], none)).alias("values"))
         anchor = F.when(_named(o["after"]), o["after"]).otherwise(o["before"])
-        beside = place(fields, anchor, o["anchor_title"])
-        kept = F.when(~_named(anchor), F.size(fields)).otherwise(beside - 1 + _named(o["after"]).cast("int"))  # fields before the new one
-        added = F.concat(F.slice(fields, F.lit(1), kept), F.array(fresh), F.slice(fields, kept + 1, F.greatest(F.size(fields) - kept, F.lit(0))))
-        add = F.when(~F.coalesce(_named(f["key"]), F.lit(False)), fails(F.lit(O.NO_KEY), "add_field")).when(place(fields, f["key"], F.lit(None).cast("string")) > 0, fails(_say(O.TAKEN, _repr(f["key"])), "add_field")).when(base.isNull() | (F.size(base) < 1) & model.isNull(), fails(_say(O.NO_MODEL, F.coalesce(f["type"].cast("string"), F.lit("None"))), "add_field")).when(_named(anchor) & (beside == 0), fails(_say(O.NO_ANCHOR, _repr(anchor)), "add_field")).otherwise(done(fields=added, touched=F.array_append(s["touched"], f["key"])))
+        kept = lambda beside: F.when(~_named(anchor), F.size(fields)).otherwise(beside - 1 + _named(o["after"]).cast("int"))  # noqa: E731  fields before the new one
+        added = lambda n: F.concat(F.slice(fields, F.lit(1), n), F.array(fresh), F.slice(fields, n + 1, F.greatest(F.size(fields) - n, F.lit(0))))
+        add = let(place(fields, anchor, o["anchor_title"]), lambda beside: F.when(~F.coalesce(_named(f["key"]), F.lit(False)), fails(F.lit(O.NO_KEY), "add_field")).when(place(fields, f["key"], F.lit(None).cast("string")) > 0, fails(_say(O.TAKEN, _repr(f["key"])), "add_field")).when(base.isNull() | (F.size(base) < 1) & model.isNull(), fails(_say(O.NO_MODEL, F.coalesce(f["type"].cast("string"), F.lit("None"))), "add_field")).when(_named(anchor) & (beside == 0), fails(_say(O.NO_ANCHOR, _repr(anchor)), "add_field")).otherwise(done(fields=let(kept(beside), added), touched=F.array_append(s["touched"], f["key"]))))
 
-        without = F.filter(fields, lambda x, i: i != at - 1)
-        remove = F.when(at == 0, fails(lost, "remove_field")).otherwise(done(fields=without, touched=F.array_append(s["touched"], F.coalesce(F.get(fields, at - 1)["key"], F.lit("")))))
+        remove = placed(lambda at: F.when(at == 0, fails(lost, "remove_field")).otherwise(done(fields=F.filter(fields, lambda x, i: i != at - 1), touched=F.array_append(s["touched"], F.coalesce(F.get(fields, at - 1)["key"], F.lit(""))))))
 
         barred = F.array_sort(F.array_except(F.map_keys(o["patch"]), F.array(*map(F.lit, O.FORM_KEYS))))
         listed = F.concat(F.lit("['"), F.array_join(barred, "', '"), F.lit("']"))
         form = F.when(bare, fails(F.lit(O.NO_PATCH), "update_form")).when(F.size(barred) > 0, fails(_say(O.BARRED, listed), "update_form")).otherwise(done(form=_merged(s["form"], o["patch"]), touched_form=F.concat(s["touched_form"], F.map_keys(o["patch"]))))
 
         wanted = F.coalesce(o["name"], F.lit(""))
-        spot = F.coalesce(F.array_position(F.transform(s["buttons"], lambda b: F.coalesce(b["name"], F.lit(""))), wanted), F.lit(0))
-        pressed = F.transform(s["buttons"], lambda b, i: F.when(i == spot - 1, F.struct(b["part"].alias("part"), F.coalesce(F.try_element_at(o["patch"], F.lit("buttonName")), b["name"]).alias("name"), _merged(b["values"], F.map_filter(o["patch"], lambda k, v: k != "buttonName")).alias("values")).cast(BUTTON)).otherwise(b))
+        spot = F.coalesce(F.array_position(F.transform(s["buttons"]["name"], lambda b: F.coalesce(b, F.lit(""))), wanted), F.lit(0))
+        pressed = F.transform(s["buttons"], lambda b, i: F.when(i == spot - 1, F.struct(b["part"].alias("part"), F.coalesce(F.try_element_at(o["patch"], F.lit("buttonName")), b["name"]).alias("name"), _merged(b["values"], F.map_filter(o["patch"], lambda k, v: k != "buttonName")).alias("values"))).otherwise(b))
         button = F.when(spot == 0, fails(_say(O.NO_BUTTON, _repr(wanted)), "update_button")).when(bare, fails(F.lit(O.NO_PATCH), "update_button")).otherwise(done(buttons=pressed, touched_form=F.array_append(s["touched_form"], F.get(s["buttons"], (spot - 1).cast("int"))["part"])))
 
         kind = o["op"]
